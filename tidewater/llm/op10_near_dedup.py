@@ -44,7 +44,7 @@ SIZE = BANDS * ROWS
 SMALL = 12
 SUBBANDS = 6
 ESTIMATE = 0.58
-UNITS = 300_000
+UNITS = 200_000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -229,8 +229,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of each document of docs (doc_id, text)."""
     ship(docs.sparkSession)
     sigs = stored(signatures(docs))
-    owned = sigs.join(sigs.groupBy("key").agg(F.min("doc_id").alias("node")), "key")  # the smallest id stands for its words
-    nodes = stored(owned.filter("doc_id = node and n > 0").select("node", "key", "n", "bands", "sketch").dropDuplicates(["node", "key"]))
+    owned = stored(sigs.join(sigs.groupBy("key").agg(F.min("doc_id").alias("node")), "key"))  # the smallest id stands for its words
+    nodes = owned.filter("doc_id = node and n > 0").select("node", "n", "bands", "sketch")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null and text is not null")
 
     star, small, large = compared(nodes.select("node", F.explode("bands").alias("bucket")).select("bucket", "node"))
