@@ -23,6 +23,7 @@ conversation whose id is null; an empty table gives no rows; other columns are i
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -56,11 +57,10 @@ def fold_events(events: DataFrame) -> DataFrame:
     e = events.select(
         "conv_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("seq"), "message", F.coalesce("turn", F.lit(-(1 << 62))).cast("long").alias("turn"), "op", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    cuts = e.filter("op = 'regenerate'").groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.max("seq").alias("cut"))
-    # the newest cut of any earlier turn, for each turn that has messages
-    turns = e.select("conv_id", "turn").distinct()
-    dropped = turns.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") > F.col("t"))).groupBy("conv_id", "turn").agg(F.max("cut").alias("cut"))
-    d = dropped.select(F.col("conv_id").alias("dc"), F.col("turn").alias("dt"), "cut")
+    # for each turn, the newest regeneration of any turn before it
+    cuts = e.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).alias("own"))
+    before = W.partitionBy("conv_id").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    d = cuts.select(F.col("conv_id").alias("dc"), F.col("turn").alias("dt"), F.max("own").over(before).alias("cut")).filter("cut is not null")
     e = e.join(d, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("turn") == F.col("dt")), "left").filter("cut is null or seq > cut").drop("dc", "dt", "cut")
     # a message starts anew at its last event that isn't a delta
     parts = F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("op") == "delta", 0).otherwise(1).alias("anew"), "text")))
