@@ -10,8 +10,9 @@ the sketch has, so it holds at least one value of the sketch, however long it is
 the candidates are complete. They are verified by exact containment of the five-grams
 as strings.
 
-Documents stay whole. Only (id, hash) rows that meet a sketch are shuffled; the sketch
-is broadcast when counted at BROADCAST rows at most, and joined by hash beyond it.
+Documents stay whole. Only (id, item) pairs that meet in a sketch are shuffled; sketches
+and candidate pairs are each broadcast when counted at BROADCAST rows at most, and joined
+by key beyond it.
 
 Defined results: null and empty texts, and items of fewer than five words, have no
 five-grams and match nothing; of an item id that repeats the longest text counts, of a
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
 N = 5
 THRESHOLD = 0.8
@@ -72,13 +73,15 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     few = index.limit(BROADCAST + 1).count() <= BROADCAST
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("w")).filter(F.col("doc_id").isNotNull())
     hashed = d.select("doc_id", F.explode(shingle_hashes("w")).alias("hash"))
-    pairs = hashed.join(F.broadcast(index) if few else index, "hash").select("doc_id", "item_id").distinct()
-    # the candidates' whole texts against their items' whole sets
+    pairs = stored(hashed.join(F.broadcast(index) if few else index, "hash").select("doc_id", "item_id").distinct())
+    # the candidates' whole texts against their items' whole sets; texts move only if the pairs are many
+    pairs = F.broadcast(pairs) if pairs.limit(BROADCAST + 1).count() <= BROADCAST else pairs
     grams = sets.select("item_id", "grams")
-    wanted = pairs.join(F.broadcast(grams) if few else grams, "item_id")
-    own = d.select(F.col("doc_id").alias("id"), shingles("w").alias("own"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(pairs, "doc_id")
+    own = texts.select("doc_id", "item_id", words(F.col("text")).alias("w")).select("doc_id", "item_id", shingles("w").alias("own"))
     shared = F.size(F.array_intersect("own", "grams")).cast("long")
-    checked = wanted.join(own, wanted["doc_id"] == own["id"]).groupBy("doc_id", "item_id").agg(F.max(F.size("grams")).cast("long").alias("n_item"), F.max(shared).alias("n_shared"))
+    found = own.join(F.broadcast(grams) if few else grams, "item_id").select("doc_id", "item_id", F.size("grams").cast("long").alias("n_item"), shared.alias("n_shared"))
+    checked = found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     return checked.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= threshold - 1e-12)
 
 
