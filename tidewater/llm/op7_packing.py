@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, ship, stored
-from .units import id_cache
+from .units import encoder
 
 WINDOW = 2048
 END = 1
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str =
     def cut(batches):
         from pyspark import TaskContext
 
-        part, cache, seen = TaskContext.get().partitionId(), id_cache(tokenizer), np.zeros(window + 1, np.int64).tolist()
+        part, cache, seen = TaskContext.get().partitionId(), encoder(tokenizer), np.zeros(window + 1, np.int64).tolist()
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             texts, ids = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()

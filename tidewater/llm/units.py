@@ -1,30 +1,26 @@
-"""Tokens by cached pre-token units, equal to what the library gives for the whole text.
-
-A text is cut where a space stands before a non-space. There every tokenizer used
-here begins a new pre-token, whatever surrounds it, so the tokens of a text are
-those of its units in order. Texts for which that doesn't hold (a special string
-inside; for the piece model also runs of spaces) go to the library whole.
-"""
+"""Tokenizers opened once a worker, and ids of whole texts."""
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
-from .common import chunks
-
-LOOSE = re.compile(r" (?!\S)")
-CUT = re.compile(r" (?=\S)")
-#: Units that a worker remembers besides a given table; beyond that it starts anew.
+#: Units that a worker remembers; beyond that it starts anew.
 WORKER_UNITS = 400_000
+#: Characters that go to an encoder at a time.
+LONG = 1 << 20
+CUT = re.compile(r" (?=\S)")
+#: Beyond the Latin script and common punctuation, or controls that libraries class differently.
+ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]")
 _open: dict = {}
 
 
 def byte_bpe(path: str):
-    """The tokenizer of a .json file, once a worker."""
+    """The tokenizer of a .json file."""
     if path not in _open:
-        os_threads()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _open[path] = Tokenizer.from_file(path)
@@ -32,7 +28,7 @@ def byte_bpe(path: str):
 
 
 def pieces(path: str):
-    """The model of a .model file, once a worker."""
+    """The model of a .model file."""
     if path not in _open:
         import sentencepiece
 
@@ -40,63 +36,52 @@ def pieces(path: str):
     return _open[path]
 
 
-def os_threads() -> None:
-    import os
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
+class Ids:
+    """Ids of whole texts by a byte-level tokenizer, as bytes of little-endian unsigned 32-bit integers.
 
-class IdCache:
-    """Ids of whole texts, as bytes of little-endian unsigned 32-bit integers."""
+    Texts of the Latin script go to a faster encoder with the tokenizer's own vocabulary,
+    whose ids are in the order of the merges, so it gives the same ids. All others, and
+    texts that hold a special string, go to the tokenizer. A very long text is cut
+    where a space stands before a non-space: a pre-token begins there whatever surrounds it."""
 
-    def __init__(self, path: str, limit: int = WORKER_UNITS):
-        self.tokenizer = byte_bpe(path)
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.tokenizer, letters = byte_bpe(path), byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
-        self.limit = limit
-
-    def _fill(self, table: dict, need: set, prefix: str) -> None:
-        new = list(need.difference(table))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([prefix + x for x in part], add_special_tokens=False)
-            for unit, e in zip(part, found):
-                table[unit] = np.array(e.ids, "<u4").tobytes()
+        ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def one(self, text: str) -> bytes:
+        if len(text) > LONG and not any(s in text for s in self.special):
+            at, out = 0, []
+            while at < len(text):
+                cut = CUT.search(text, at + LONG) if at + LONG < len(text) else None
+                end = cut.start() if cut else len(text)
+                out.append(self._part(text[at:end]))
+                at = end
+            return b"".join(out)
+        return self._part(text)
+
+    def _part(self, text: str) -> bytes:
+        if ODD.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for start, end in chunks(texts):
-            cut = []
-            heads, tails = set(), set()
-            for t in texts[start:end]:
-                if any(s in t for s in self.special):
-                    cut.append(t)
-                    continue
-                u = CUT.split(t) if LOOSE.search(t) else t.split(" ")
-                heads.add(u[0])
-                u[0], first = None, u[0]
-                tails.update(u)
-                cut.append((first, u))
-            tails.discard(None)
-            self._fill(self.head, heads, "")
-            self._fill(self.tail, tails, " ")
-            get = self.tail.__getitem__
-            for c in cut:
-                if isinstance(c, str):
-                    out.append(np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
-                else:
-                    del c[1][0]
-                    out.append(self.head[c[0]] + b"".join(map(get, c[1])))
-            if len(self.head) + len(self.tail) > self.limit:
-                self.head.clear()
-                self.tail.clear()
-        return out
-
-
-def id_cache(path: str) -> IdCache:
-    """The cache of this worker for the tokenizer at path; kept from task to task."""
+        return [self.one(t) for t in texts]
+
+
+def encoder(path: str) -> Ids:
     key = ("ids", path)
     if key not in _open:
-        _open[key] = IdCache(path)
+        _open[key] = Ids(path)
     return _open[key]
