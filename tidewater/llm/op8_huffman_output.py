@@ -3,7 +3,7 @@
 The ids' counts over the corpus (one count for each id of the vocabulary) give code
 lengths of MAX_BITS at most by package-merge; canonical codes follow from the lengths.
 A shard holds documents in ascending id order, the ids of one range, as blocks of
-BLOCK ids or a little more. Every block decodes on its own: it has the code lengths' table
+about BLOCK ids. Texts are encoded once; their ids wait in a table for the counts. Every block decodes on its own: it has the code lengths' table
 digest, its documents' lengths, its bits, and a checkpoint of the bit offset for every
 STRIDE ids. Decoding looks MAX_BITS bits up in a table that gives id and length, and
 goes on at all checkpoints of a block at once.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, ship, stored
-from .units import byte_bpe, id_cache
+from .units import byte_bpe, encoder
 
 END = 2
 MAX_BITS = 16
@@ -139,18 +139,41 @@ def decode_block(data: bytes, lengths: np.ndarray, table: tuple[np.ndarray, np.n
     return [(None if d["null"] else int(d["id"]), ids[e - int(d["n"]) : e]) for d, e in zip(docs, ends.tolist())]
 
 
-def id_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> np.ndarray:
-    """How often each id stands in the corpus, end ids counted; a vector per partition, summed in a tree."""
-    size = byte_bpe(tokenizer).get_vocab_size(with_added_tokens=True)
+def token_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
+    """shard, row, doc_id, ids: each document's ids with the end id, in ascending order of id by shard and row."""
+    spark = ship(docs.sparkSession)
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    kind = id_type(tokenizer)
 
-    def count(batches):
-        cache, counts = id_cache(tokenizer), np.zeros(size, np.int64)
+    def encode(batches):
+        from pyspark import TaskContext
+
+        shard, tokens, row = TaskContext.get().partitionId(), encoder(tokenizer), 0
+        end = np.array([END], kind).tobytes()
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
+            keys, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), 1000):
-                data = b"".join(cache.encode(texts[i : i + 1000]))
-                counts += np.bincount(np.frombuffer(data, "<u4"), minlength=size)
-            counts[END] += len(texts)
+                data = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tokens.encode([t or "" for t in texts[i : i + 1000]])]
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(data), pa.int32()), "row": pa.array(range(row, row + len(data)), pa.int64()), "doc_id": keys.slice(i, 1000), "ids": pa.array(data, pa.binary())})
+                row += len(data)
+
+    ordered = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    return stored(ordered.mapInArrow(encode, "shard int, row long, doc_id long, ids binary"), "zstd")
+
+
+def id_type(tokenizer: str) -> str:
+    return "<u2" if byte_bpe(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def id_counts(table: DataFrame, tokenizer: str) -> np.ndarray:
+    """How often each id stands in the corpus; a vector per partition, summed in a tree."""
+    size, kind = byte_bpe(tokenizer).get_vocab_size(with_added_tokens=True), id_type(tokenizer)
+
+    def count(batches):
+        counts = np.zeros(size, np.int64)
+        for b in batches:
+            counts += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=size)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
 
     def add(batches):
@@ -160,43 +183,36 @@ def id_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> np.ndarray
                 counts += np.frombuffer(zlib.decompress(c), np.int64)
         yield pa.RecordBatch.from_pydict({"counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
 
-    found, n = docs.select(F.col(text).alias("text")).mapInArrow(count, "counts binary"), docs.rdd.getNumPartitions()
+    found, n = table.select("ids").mapInArrow(count, "counts binary"), table.rdd.getNumPartitions()
     while n > 64:
         n = -(-n // 64)
         found = found.repartition(n).mapInArrow(add, "counts binary")
     return sum((np.frombuffer(zlib.decompress(r.counts), np.int64) for r in found.collect()), np.zeros(size, np.int64))
 
 
-def write_shards(docs: DataFrame, tokenizer: str, lengths: np.ndarray, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """shard, block, ids, data: the stored blocks; shards follow one another in id order."""
-    spark = ship(docs.sparkSession)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    held = spark.sparkContext.broadcast(lengths)
+def write_shards(table: DataFrame, tokenizer: str, lengths: np.ndarray) -> DataFrame:
+    """shard, block, ids, data: the stored blocks; block is the shard's row at which it begins."""
+    held, kind = table.sparkSession.sparkContext.broadcast(lengths), id_type(tokenizer)
 
     def encode(batches):
-        from pyspark import TaskContext
-
-        shard, cache, lengths = TaskContext.get().partitionId(), id_cache(tokenizer), held.value
-        codes, end, block, waiting, size = canonical(lengths), np.array([END], "<u4").tobytes(), 0, [], 0
+        lengths = held.value
+        codes, waiting, size, at = canonical(lengths), [], 0, (-1, -1)
 
         def made():
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "ids": pa.array([size], pa.int64()), "data": pa.array([encode_block(waiting, lengths, codes)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([at[0]], pa.int32()), "block": pa.array([at[1] - len(waiting)], pa.int64()), "ids": pa.array([size], pa.int64()), "data": pa.array([encode_block(waiting, lengths, codes)], pa.binary())})
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 500):
-                for key, data in zip(keys[i : i + 500], cache.encode(texts[i : i + 500])):
-                    waiting.append((key, np.frombuffer(data + end, "<u4")))
-                    size += len(data) // 4 + 1
-                    if size >= BLOCK:
-                        yield made()
-                        block, waiting, size = block + 1, [], 0
+            for shard, row, key, data in zip(*(b.column(c).to_pylist() for c in ("shard", "row", "doc_id", "ids"))):
+                if waiting and (size >= BLOCK or at != (shard, row)):
+                    yield made()
+                    waiting, size = [], 0
+                ids = np.frombuffer(data, kind)
+                waiting.append((key, ids))
+                size, at = size + len(ids), (shard, row + 1)
         if waiting:
             yield made()
 
-    ordered = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stored(ordered.mapInArrow(encode, "shard int, block int, ids long, data binary"))
+    return stored(table.mapInArrow(encode, "shard int, block long, ids long, data binary"))
 
 
 def to_files(shards: DataFrame, lengths: np.ndarray, folder: str) -> list[str]:
@@ -240,6 +256,7 @@ def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, docs = public_tokenizers.path("byte_bpe_50k.json"), documents(ship(spark), sf_dir)
-    lengths = code_lengths(id_counts(docs, path))
-    return read_shards(write_shards(docs, path, lengths), lengths)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    table = token_table(documents(spark, sf_dir), path)
+    lengths = code_lengths(id_counts(table, path))
+    return read_shards(write_shards(table, path, lengths), lengths)
