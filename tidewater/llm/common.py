@@ -13,12 +13,26 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch, where the session has the default of four times as many.
+BATCH_BYTES = 16 << 20
 _shipped: set[str] = set()
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What an operator keeps in a worker from task to task; that of one operator at a time."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers of a cluster, once an application."""
+    """Make this package importable in the Python workers of a cluster, once an application,
+    and its batches small enough for several workers beside an executor."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
         package = os.path.basename(os.path.dirname(here))

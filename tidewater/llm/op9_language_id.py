@@ -23,6 +23,7 @@ ignored.
 
 from __future__ import annotations
 
+import collections
 import re
 import uuid
 
@@ -33,53 +34,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold, ship
+from .common import documents, fold, ship, worker_state
 
 PROFILE = 300
 SAMPLE = 1_000
 REJECT = 0.97
 LANGUAGES = 1_000
-UNITS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
-_models: dict = {}
 
 
-def grams(word: str) -> np.ndarray:
-    """Codes of the 1- to 3-grams of a word between marks: code points in 21 bits each."""
-    c = np.array([32, *map(ord, word), 32], np.int64)
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a text's 1- to 3-grams, ascending, and how often each stands there.
+
+    The distinct words stand in one string between spaces, which mark their ends; an
+    n-gram counts as often as its word. A code is a code point in each 21 bits."""
+    seen = collections.Counter(WORD.findall(text.lower()))
+    if not seen:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = np.frombuffer(f" {' '.join(seen)} ".encode("utf-32-le"), "<u4").astype(np.int64)
+    times = np.repeat(list(seen.values()), [len(w) + 1 for w in seen])  # of each character and the space after it
     two = c[:-1] << 21 | c[1:]
-    return np.concatenate([c[1:-1], two, c[:-2] << 42 | two[1:]])
-
-
-class Counter:
-    """n-gram counts of texts, with the n-grams of each unit between spaces remembered."""
-
-    def __init__(self) -> None:
-        self.cache: dict[str, np.ndarray] = {}
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.cache) > UNITS:
-            self.cache.clear()
-        seen: dict[str, int] = {}
-        for u in text.split(" "):
-            seen[u] = seen.get(u, 0) + 1
-        cache, parts = self.cache, []
-        for u in seen:
-            g = cache.get(u)
-            if g is None:
-                words = WORD.findall(u.lower())
-                g = cache[u] = grams(words[0]) if len(words) == 1 else np.concatenate([grams(w) for w in words]) if words else np.zeros(0, np.int64)
-            parts.append(g)
-        codes = np.concatenate(parts)
-        weights = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(p) for p in parts])
-        order = np.argsort(codes, kind="stable")
-        codes, weights = codes[order], weights[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        return codes[first], np.add.reduceat(weights, first) if len(first) else weights
-
-    def profile(self, text: str) -> np.ndarray:
-        codes, n = self.counts(text)
-        return codes[np.lexsort((codes, -n))[:PROFILE]]
+    inside = c[1:-1] != 32
+    codes = np.concatenate([c[1:-1][inside], two, (c[:-2] << 42 | two[1:])[inside]])
+    n = np.concatenate([times[:-1][inside], times, times[:-1][inside]])
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(n, first)
+
+
+def profile(text: str) -> np.ndarray:
+    """The codes of the PROFILE most frequent n-grams."""
+    codes, n = counts(text)
+    if len(n) > PROFILE:
+        most = n >= np.partition(n, -PROFILE)[-PROFILE]
+        codes, n = codes[most], n[most]
+    return codes[np.lexsort((codes, -n))[:PROFILE]]
 
 
 class Profiles:
@@ -116,11 +106,11 @@ def language_profiles(docs: DataFrame) -> dict[str, list[int]]:
     chosen = train.join(F.broadcast(sizes), "lang").filter(share < SAMPLE / F.col("n")).select("lang", "text")
 
     def count(batches):
-        counter, sums = Counter(), {}
+        sums: dict = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = sums.setdefault(lang, {})
-                for c, n in zip(*(x.tolist() for x in counter.counts(text))):
+                for c, n in zip(*(x.tolist() for x in counts(text))):
                     own[c] = own.get(c, 0) + n
         for lang, own in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "code": pa.array(list(own), pa.int64()), "n": pa.array(list(own.values()), pa.int64())})
@@ -142,12 +132,9 @@ def identified(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str]
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
     def predict(batches):
-        if key not in _models:
-            _models.clear()
-            _models[key] = (Profiles(held.value), Counter())
-        languages, counter = _models[key]
+        languages = worker_state(key, lambda: Profiles(held.value))
         for b in batches:
-            found = [languages.nearest(counter.profile(t)) if t else ("und", 0.0, True) for t in b.column(0).to_pylist()]
+            found = [languages.nearest(profile(t)) if t else ("und", 0.0, True) for t in b.column(0).to_pylist()]
             lang, score, rejected = zip(*found) if found else ((), (), ())
             cols = {n: b.column(i + 1) for i, n in enumerate(names)}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*cols, "lang_pred", "score", "rejected"])
