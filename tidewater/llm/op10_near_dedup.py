@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, ship, stored
-from .units import _open
+from .common import documents, shared_dir, ship, stored, worker_state
 
 N = 5
 BANDS, ROWS = 28, 5
@@ -45,6 +44,7 @@ SMALL = 12
 SUBBANDS = 6
 ESTIMATE = 0.58
 UNITS = 200_000
+WORD = re.compile(r"[^\W_]+")
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -60,14 +60,12 @@ def word_codes(text: str) -> np.ndarray:
     """64-bit codes of the words (runs of letters and digits, lower case) of a text."""
     import xxhash
 
-    if "words" not in _open:
-        _open["words"] = (re.compile(r"[^\W_]+"), {})
-    pattern, cache = _open["words"]
+    cache = worker_state("word codes", dict)
     if len(cache) > UNITS:
         cache.clear()
     units = text.split(" ")
     for u in set(units).difference(cache):
-        cache[u] = b"".join(xxhash.xxh64_digest(w.encode()) for w in pattern.findall(u.lower()))
+        cache[u] = b"".join(xxhash.xxh64_digest(w.encode()) for w in WORD.findall(u.lower()))
     return np.frombuffer(b"".join(map(cache.__getitem__, units)), ">u8").astype(np.uint64)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import units
-from .common import chunks, documents, ship
+from .common import chunks, documents, ship, worker_state
 
 TABLE = 32_768
 UNIT_BYTES = 64
@@ -104,11 +104,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, doc_id: str = "
 
     def count(batches):
         sp = units.pieces(model)
-        tiers = units._open.get(key)
-        if tiers is None:
-            for k in [k for k in units._open if isinstance(k, str) and k.startswith("counts-")]:
-                del units._open[k]
-            tiers = units._open[key] = Tiers(_unpack(table.value))
+        tiers = worker_state(key, lambda: Tiers(_unpack(table.value)))
         second, get = tiers.second, tiers.__getitem__
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, ship
+from .common import documents, fold, ship, worker_state
 
 SLOTS = 1 << 22
 MIN_DOCS = 6
@@ -40,7 +40,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2_500, 3_500, 40_000
 SLICE = 100_000
 DECAY = 0.01
 INIT = 0.05
-UNITS = 500_000
+UNITS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 # Frequent function words of four languages.
 COMMON = {
@@ -54,7 +54,6 @@ for _lang, _words in COMMON.items():
     for _w in _words.split():
         _MARKS[_w] = "" if _w in _MARKS else _lang
 LANGS = [*COMMON, "other"]
-_models: dict = {}
 
 
 def slots(words: list[str]) -> list[int]:
@@ -258,11 +257,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = uuid.uuid4().hex
 
     def score(batches):
-        if key not in _models:
-            _models.clear()
-            m = held.value
-            _models[key] = (m, m and m.tables(), m and Words(m.known))
-        m, tables, words = _models[key]
+        m, tables, words = worker_state(key, lambda: (m := held.value, m and m.tables(), m and Words(m.known)))
         for b in batches:
             texts, out = b.column(2).to_pylist(), []
             for i in range(0, len(texts), 64) if m else ():
