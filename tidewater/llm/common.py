@@ -8,20 +8,23 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time.
-CHUNK_BYTES = 4 << 20
-#: Bytes of an Arrow batch, where the session has the default of four times as many.
-BATCH_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch, where the session has the default of 64 MB.
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 _state: dict = {}
 
 
 def worker_state(key, make):
-    """What an operator keeps in a worker from task to task; that of one operator at a time."""
+    """What an operator keeps in a worker from task to task; that of one operator at a time.
+    Arrow's buffers then come from the system, which gets them back sooner than from a pool."""
     if key not in _state:
+        pa.set_memory_pool(pa.system_memory_pool())
         _state.clear()
         _state[key] = make()
     return _state[key]

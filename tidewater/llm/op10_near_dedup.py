@@ -43,7 +43,7 @@ SIZE = BANDS * ROWS
 SMALL = 12
 SUBBANDS = 6
 ESTIMATE = 0.58
-UNITS = 200_000
+UNITS = 100_000
 WORD = re.compile(r"[^\W_]+")
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -124,9 +124,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     def make(batches):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(ids), 2000):
+            for i in range(0, len(ids), 500):
                 key, n, bands, sketch = [], [], [], []
-                for d, t in zip(ids[i : i + 2000], texts[i : i + 2000]):
+                for d, t in zip(ids[i : i + 500], texts[i : i + 500]):
                     codes = word_codes(t or "")
                     if not len(codes):
                         key.append(f"null {d}" if t is None else hashlib.md5(b"raw " + t.encode()).hexdigest())
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sig = signature(g, w)
                     key.append(hashlib.md5(codes.tobytes()).hexdigest())
                     n.append(len(g)), bands.append(band_hashes(sig)), sketch.append((sig & np.uint64(0xFFFF)).astype("<u2").tobytes())
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i : i + 2000], pa.int64()), "key": pa.array(key, pa.string()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i : i + 500], pa.int64()), "key": pa.array(key, pa.string()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     return d.mapInArrow(make, "doc_id long, key string, n long, bands array<long>, sketch binary")
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         def own(node, text):
             if node not in held:
-                if len(held) > 500:
+                if len(held) > 200:
                     held.clear()
                 held[node] = np.unique(grams(word_codes(text)))
             return held[node]
