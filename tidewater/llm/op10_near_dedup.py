@@ -145,11 +145,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 def compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (bucket, node): the pairs (a, b) of star comparisons, all pairs of small buckets,
     and the (bucket, node) rows of the others."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
     met = stored(rows.join(sizes, "bucket"))
     degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
     pivots = met.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("x"))).alias("m"), F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("x"))).alias("r"))
-    star = met.join(pivots.select("bucket", (-F.col("m.x")).alias("m"), F.col("r.x").alias("r")), "bucket").select("node", F.explode(F.array("m", "r")).alias("pivot"))
+    pivots = stored(pivots.select("bucket", (-F.col("m.x")).alias("m"), F.col("r.x").alias("r")))
+    star = met.join(pivots, "bucket").select("node", F.explode(F.array("m", "r")).alias("pivot"))
     few = met.filter(F.col("size") <= SMALL).select("bucket", "node")
     small = few.join(few.select("bucket", F.col("node").alias("pivot")), "bucket").select("node", "pivot")
     pair = lambda d: d.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -227,7 +228,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of each document of docs (doc_id, text)."""
     ship(docs.sparkSession)
     sigs = stored(signatures(docs))
-    owned = stored(sigs.join(sigs.groupBy("key").agg(F.min("doc_id").alias("node")), "key"))  # the smallest id stands for its words
+    # the smallest id stands for its words; stored, so that a join can split what a hot key brings
+    owner = stored(sigs.groupBy("key").agg(F.min("doc_id").alias("node")))
+    owned = stored(sigs.join(owner, "key"))
     nodes = owned.filter("doc_id = node and n > 0").select("node", "n", "bands", "sketch")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null and text is not null")
 
