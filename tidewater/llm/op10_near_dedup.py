@@ -201,15 +201,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node that a node is connected to; nodes with edges only.
 
-    Large-star and small-star steps until nothing changes; each round is written to the shared folder."""
+    Large-star and small-star steps until nothing changes. Each step is written to the shared
+    folder, minima too: a join with them can then split the rows of a hub."""
     shared_dir(edges.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
     state = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u").filter("v <> m").select("v", "m").toDF("u", "v").unionAll(least.toDF("u", "v"))
         e = small.filter("u <> v").distinct().checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
