@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidewater.functions import html, http, urls
-from tidewater.operators import catalog, lookups, state
+from tidewater.operators import catalog, lookups, rules, state
 from tidewater.plans import registry
 from tidewater.sources import files
 
@@ -159,3 +159,18 @@ def test_save_file(spark):
     text = files.save_text(F.create_map(F.lit("a"), F.lit("1")), F.create_map(F.lit("k"), F.lit("v")))
     cookies, storage = files.load_save(text, F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("2")), F.create_map(F.lit("z"), F.lit("y")))
     assert one(spark, cookies) == {"b": "2", "a": "1"} and one(spark, storage) == {"z": "y", "k": "v"}
+
+
+def test_rules(spark):
+    path = lambda p, c: one(spark, rules.dynamic_route(F.lit(p), F.lit(c).cast("string"), "/a/q/", "/ca/"))
+    assert (path("/a/q/x", None), path("/x", "/a/q/y"), path("/ca/", "/a/q/y"), path("/x", None)) == (True, True, False, False)
+    assert one(spark, rules.visible_names(F.array(*map(F.lit, ["a", "b", "a"])), ["b"])) == ["a", "a"]
+    for name in rules.CODECS:
+        encode, decode = rules.codec(name)
+        assert one(spark, decode(encode(F.lit("a b/é")))) == "a b/é"
+    store = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
+    assert rules.stored_rows(store, "a").count() == rules.stored_rows(store, value="2").count() == 1 and rules.cleared(store).count() == 0
+    assert lookups.add_absent(store, store.limit(1).withColumn("key", F.lit("c"))).count() == 3
+    keep = rules.hooked(store, [lambda d: None, lambda d: d.filter("key = 'a'"), lambda d: d.limit(0)], first_only=True)
+    assert keep.count() == 1
+    assert rules.ok_only(spark.createDataFrame([(200,), (304,)], "status int")).count() == 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, http, urls
-from ..operators import catalog, lookups, state
+from ..operators import catalog, lookups, rules, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,3 +232,15 @@ def status_severity(spark, sf_dir):
     flags = e.select("event_id", *[F.when(F.col("event_type") == v, "true").alias(k) for k, v in (("error", "error"), ("load", "click"), ("partial", "view"))], F.lit("").alias("say"))
     level, say = catalog.severity({"error": "Broken", "load": "Loads", "partial": "Works in part"})
     return flags.select("event_id", lookups.next_index(F.col("event_id"), 13).alias("next"), level.alias("level"), say.alias("say"))
+
+
+@query(
+    """SELECT page_id, element, attribute, 'encode' AS action, count(*) AS n FROM (
+    SELECT page_id, 'a' AS element, 'href' AS attribute, unnest(regexp_extract_all(html, '(?i)<(a\\b[^>]*)>', 1)) AS tag FROM pages
+    UNION ALL SELECT page_id, 'img', 'src', unnest(regexp_extract_all(html, '(?i)<(img\\b[^>]*)>', 1)) FROM pages)
+    WHERE regexp_matches(tag, '\\s' || attribute || '="') GROUP BY ALL"""
+)
+def attribute_rules(spark, sf_dir):
+    rows = rules.attribute_rows(table(spark, sf_dir, "pages"), ["a", "img"], ["href", "src"])
+    table_of_rules = spark.range(1).select(F.lit("encode").alias("action"), F.explode(F.array(F.struct(F.array(F.lit("a")).alias("e"), F.array(F.lit("href")).alias("a")), F.struct(F.array(F.lit("img")).alias("e"), F.array(F.lit("src")).alias("a")))).alias("r")).select("action", F.col("r.e").alias("elements"), F.col("r.a").alias("attributes"))
+    return rules.matched_rules(rows, table_of_rules).groupBy("page_id", "element", "attribute", "action").agg(F.count("*").alias("n"))
