@@ -140,26 +140,29 @@ def decode_block(data: bytes, lengths: np.ndarray, table: tuple[np.ndarray, np.n
 
 
 def token_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """shard, row, doc_id, ids: each document's ids with the end id, in ascending order of id by shard and row."""
+    """shard, row, first, doc_id, ids: each document's ids with the end id, in ascending order of id by
+    shard and row; first counts the ids before it in its shard."""
     spark = ship(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     kind = id_type(tokenizer)
+    width = np.dtype(kind).itemsize
 
     def encode(batches):
         from pyspark import TaskContext
 
-        shard, tokens, row = TaskContext.get().partitionId(), encoder(tokenizer), 0
+        shard, tokens, row, first = TaskContext.get().partitionId(), encoder(tokenizer), 0, 0
         end = np.array([END], kind).tobytes()
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), 1000):
                 data = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tokens.encode([t or "" for t in texts[i : i + 1000]])]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(data), pa.int32()), "row": pa.array(range(row, row + len(data)), pa.int64()), "doc_id": keys.slice(i, 1000), "ids": pa.array(data, pa.binary())})
-                row += len(data)
+                before = np.cumsum([first, *(len(x) // width for x in data)])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(data), pa.int32()), "row": pa.array(range(row, row + len(data)), pa.int64()), "first": pa.array(before[:-1], pa.int64()), "doc_id": keys.slice(i, 1000), "ids": pa.array(data, pa.binary())})
+                row, first = row + len(data), int(before[-1])
 
     ordered = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stored(ordered.mapInArrow(encode, "shard int, row long, doc_id long, ids binary"), "zstd")
+    return stored(ordered.mapInArrow(encode, "shard int, row long, first long, doc_id long, ids binary"), "zstd")
 
 
 def id_type(tokenizer: str) -> str:
@@ -191,28 +194,30 @@ def id_counts(table: DataFrame, tokenizer: str) -> np.ndarray:
 
 
 def write_shards(table: DataFrame, tokenizer: str, lengths: np.ndarray) -> DataFrame:
-    """shard, block, ids, data: the stored blocks; block is the shard's row at which it begins."""
+    """shard, block, first, ids, data: the stored blocks; block is the shard's row at which it begins,
+    first the shard's ids before it."""
     held, kind = table.sparkSession.sparkContext.broadcast(lengths), id_type(tokenizer)
 
     def encode(batches):
         lengths = held.value
-        codes, waiting, size, at = canonical(lengths), [], 0, (-1, -1)
+        codes, waiting, size, at, begin = canonical(lengths), [], 0, (-1, -1), 0
 
         def made():
-            return pa.RecordBatch.from_pydict({"shard": pa.array([at[0]], pa.int32()), "block": pa.array([at[1] - len(waiting)], pa.int64()), "ids": pa.array([size], pa.int64()), "data": pa.array([encode_block(waiting, lengths, codes)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([at[0]], pa.int32()), "block": pa.array([at[1] - len(waiting)], pa.int64()), "first": pa.array([begin], pa.int64()), "ids": pa.array([size], pa.int64()), "data": pa.array([encode_block(waiting, lengths, codes)], pa.binary())})
 
         for b in batches:
-            for shard, row, key, data in zip(*(b.column(c).to_pylist() for c in ("shard", "row", "doc_id", "ids"))):
+            for shard, row, first, key, data in zip(*(b.column(c).to_pylist() for c in ("shard", "row", "first", "doc_id", "ids"))):
                 if waiting and (size >= BLOCK or at != (shard, row)):
                     yield made()
                     waiting, size = [], 0
                 ids = np.frombuffer(data, kind)
+                begin = begin if waiting else first
                 waiting.append((key, ids))
                 size, at = size + len(ids), (shard, row + 1)
         if waiting:
             yield made()
 
-    return stored(table.mapInArrow(encode, "shard int, block long, ids long, data binary"))
+    return stored(table.mapInArrow(encode, "shard int, block long, first long, ids long, data binary"))
 
 
 def to_files(shards: DataFrame, lengths: np.ndarray, folder: str) -> list[str]:
@@ -223,9 +228,9 @@ def to_files(shards: DataFrame, lengths: np.ndarray, folder: str) -> list[str]:
     names = []
     for row in shards.orderBy("shard", "block").toLocalIterator():
         name = f"{folder}/shard-{row.shard:06d}.huf"
-        with open(name, "ab") as f:
+        with open(name, "ab" if name in names[-1:] else "wb") as f:
             f.write(struct.pack("<Q", len(row.data)) + bytes(row.data))
-        if name not in names:
+        if name not in names[-1:]:
             names.append(name)
     return names
 
@@ -234,8 +239,8 @@ def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the blocks."""
     spark = ship(shards.sparkSession)
     starts, at = {}, 0
-    for r in shards.select("shard", "block", "ids").orderBy("shard", "block").collect():  # a row per BLOCK ids
-        starts[r.shard, r.block] = at
+    for r in shards.groupBy("shard").agg(F.sum("ids").alias("ids")).orderBy("shard").collect():  # a row per range
+        starts[r.shard] = at
         at += r.ids
     held = spark.sparkContext.broadcast((lengths, starts))
 
@@ -243,14 +248,14 @@ def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
         lengths, starts = held.value
         table = decode_table(lengths)
         for b in batches:
-            for shard, block, data in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "data"))):
-                start, rows = starts[shard, block], []
+            for shard, first, data in zip(*(b.column(c).to_pylist() for c in ("shard", "first", "data"))):
+                start, rows = starts[shard] + first, []
                 for key, ids in decode_block(data, lengths, table):
                     rows.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*rows))})
 
-    return shards.select("shard", "block", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("shard", "first", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
