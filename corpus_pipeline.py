@@ -5,7 +5,7 @@ return the columns of documents.
 1 language: documents that language ID rejects go; lang stays as it was given.
 2 near_duplicates: of each class the document with the smallest id stays; rows without
   an id stay, of rows that repeat an id the first by text stays.
-3 decontamination: documents that contain a benchmark item go.
+3 decontamination: documents that contain a benchmark item go, those without an id too.
 4 pii: personal data is replaced, n_chars follows.
 5 packing: the pieces of sequences of 2048 tokens.
 """
@@ -39,7 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     leaks = op5_decontamination.contained_items(docs, items).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    nameless = docs.filter("doc_id is null and text is not null")
+    if nameless.isEmpty():
+        return kept
+    # rows without an id are searched by their texts
+    numbered = common.stored(nameless.select("text").distinct().select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    found = op5_decontamination.contained_items(numbered, items).select("doc_id").distinct()
+    gone = numbered.join(found, "doc_id", "left_semi").select("text")
+    clean = kept.filter("doc_id is null").join(gone, "text", "left_anti").select(docs.columns)
+    return kept.filter("doc_id is not null").unionByName(clean)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,3 +316,14 @@ def test_pipeline(spark):
     assert all(lengths[r.doc_id] == r.doc_tokens for r in out)
     clean = [d for d in kept if not op6_pii_surrogates.mentions(rows[d].text)]
     assert clean and all(lengths[d] == len(ids_of(rows[d].text)) + 1 for d in clean)
+
+
+def test_pipeline_rows_without_id(spark, tmp_path):
+    """A leak goes whether its row has an id or not; null texts and clean texts stay."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so: {item} end", "en", "s", 1), (None, "clean words here", "en", "s", 1), (None, None, "en", "s", 1), (4, item, "en", "s", 1), (5, "other", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(None, "clean words here"), (None, None), (5, "other")} and out.count() == 3
