@@ -97,6 +97,7 @@ def test_toxicity(spark, docs, empty):
     assert len(out) == 201 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     assert [r.score for r in op3_toxicity.toxicity(docs.limit(2), labels.limit(0)).collect()] == [0, 0]
     assert op3_toxicity.toxicity(empty, labels).count() == 0
+    assert sorted(map(tuple, op3_toxicity.training_rows(docs.union(docs), labels))) == sorted(map(tuple, op3_toxicity.training_rows(docs, labels)))
     random.seed(1)
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}".replace("w", "") for i in range(300)]
     make = lambda bad: " ".join([*random.choices(words, k=80), *(["zorgle"] * bad), *random.choices(words, k=20)])

@@ -15,7 +15,7 @@ found, and scores are rescaled so that it lies at 0.3. Languages with few detect
 use the threshold found over all. Labels, lang, source and doc_id are not inputs.
 
 Defined results: null and empty texts score as texts without words; a label that
-repeats counts once, 1 before 0; without labels of both kinds every score is 0; rows
+repeats counts once, 1 before 0; of an id's texts the first in order is learnt; without labels of both kinds every score is 0; rows
 that repeat get a row each; a null id is not held out; other columns are ignored.
 """
 
@@ -244,7 +244,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     short = docs.filter(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
     take = lambda v, n: l.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = take(1, TRAIN_TOXIC).unionAll(take(0, TRAIN_CLEAN))
-    rows = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
+    # of an id that repeats one text, so that no more rows come than ids
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     return sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
 
 
