@@ -142,6 +142,35 @@ def test_state(spark):
     assert one(spark, state.tab_title(F.lit("a"))) == "Tab"
 
 
+def test_folds_over_many_blocks(spark):
+    """Against plain loops, for keys that lie in one block and in several, with ties and nulls."""
+    import random
+
+    random.seed(4)
+    rows = [(k, random.randint(0, 60) if k != "hot" else i // 3, random.choice("aab")) for k, n in (("hot", 900), ("x", 30), ("y", 1), (None, 5)) for i in range(n)] + [("none", None, "a")]
+    events = spark.createDataFrame([(k, i, t, v) for i, (k, t, v) in enumerate(rows)], "k string, i long, t long, v string").withColumn("ts", F.timestamp_seconds("t"))
+    ttl, seq = {}, {}
+    for k in {r[0] for r in rows}:
+        at, hits, misses = None, 0, 0
+        for t in sorted(t for x, t, _ in rows if x == k and t is not None):
+            at, hits, misses = (at, hits + 1, misses) if at is not None and t - at <= 7 else (t, hits, misses + 1)
+        last, n = [], 0
+        for x, _, v in rows:
+            if x == k:
+                last = [*last, v][-3:]
+                last, n = ([], n + 1) if last == ["a", "b", "a"] else (last, n)
+        ttl[k], seq[k] = (hits, misses), n
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for on in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", on)
+            assert {r.k: (r.hits, r.misses) for r in state.ttl_cache(events, "k", "ts", 7).collect()} == ttl
+            assert {r.k: r.matches for r in state.sequence_matches(events, "k", ["i"], "v", ["a", "b", "a"]).collect()} == seq
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert state.ttl_cache(events.limit(0), "k", "ts", 7).count() == state.sequence_matches(events.limit(0), "k", ["i"], "v", ["a"]).count() == 0
+
+
 def test_streams_equal_batch(spark, tmp_path):
     from tidewater.streaming import state as streams
 

@@ -77,7 +77,7 @@ def url_md5(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(u).alias("digest"), urls.strip_last_segment(u).alias("folder"), http.base64_latin1(u).alias("b64"))
 
 
-@query("SELECT page_id, " + ENCODE.format("substr(html, 1, 100000)") + " AS encoded FROM pages")
+@query("SELECT page_id, " + ENCODE.format("html") + " AS encoded FROM pages")
 def html_uri_encode(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.uri_encode(F.col("html")).alias("encoded"))
 
@@ -101,10 +101,10 @@ def link_extract(spark, sf_dir):
 @query(
     f"""SELECT page_id, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href
     WHEN starts_with(href, '/') THEN origin || href WHEN starts_with(href, '?') THEN origin || path || href WHEN starts_with(href, '#') OR href = '' THEN regexp_replace(url, '#.*$', '') || href ELSE origin || regexp_replace(path, '[^/]*$', '') || href END AS target
-    FROM (SELECT DISTINCT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, {LINKS} FROM pages) WHERE NOT regexp_matches(href, '/[.]')"""
+    FROM (SELECT DISTINCT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, {LINKS} FROM pages)"""
 )
 def link_resolve(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.attributes(F.col("html"), "href")).alias("href")).distinct().filter("not href rlike '/[.]'")
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.attributes(F.col("html"), "href")).alias("href")).distinct()
     return p.select("page_id", "href", urls.resolve(F.col("url"), F.col("href")).alias("target"))
 
 
