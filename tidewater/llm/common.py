@@ -73,8 +73,17 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._drop = lambda: files.delete(at, True)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of stored() that nothing will read any more."""
+    for t in tables:
+        t._drop()
 
 
 def fold(column, modulus: int):

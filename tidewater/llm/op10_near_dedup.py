@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, ship, stored, worker_state
+from .common import documents, drop, ship, stored, worker_state
 
 N = 5
 BANDS, ROWS = 28, 5
@@ -202,17 +202,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node that a node is connected to; nodes with edges only.
 
     Large-star and small-star steps until nothing changes. Each step is written to the shared
-    folder, minima too: a join with them can then split the rows of a hub."""
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    folder, minima too: a join with them can then split the rows of a hub. What a step has used is removed after it."""
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select("v", "m").toDF("u", "v").unionAll(least.toDF("u", "v"))
-        e = small.filter("u <> v").distinct().checkpoint()
+        used, e = (e, low, least), stored(small.filter("u <> v").distinct())
+        drop(*used)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
