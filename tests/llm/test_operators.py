@@ -290,6 +290,21 @@ def test_near_dedup(spark, odd, empty):
     assert op10_near_dedup.classes(empty).count() == 0
 
 
+def test_near_dedup_family(spark):
+    """A family that shares a template and is below 0.8 itself hides pairs that are just over it."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    template, rows = fresh(300), []
+    for i in range(600):
+        own = fresh(12)
+        for _ in range(2 if i < 150 else 1):
+            rows.append((len(rows), " ".join(template + own + fresh(38))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert sum(d != c for d, c in want.items()) == 150
+    assert {r.doc_id: r.class_id for r in op10_near_dedup.classes(df).collect()} == want
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(2)
     e = rng.integers(0, 1 << 63, 900).astype(np.uint64)

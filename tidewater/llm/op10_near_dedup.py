@@ -11,8 +11,10 @@ Steps: texts with equal words are one node (pre-aggregated by a digest). Nodes m
 buckets, one for each of BANDS bands of ROWS components; a pair of similarity 0.8 misses all of them
 with probability 2e-5. In a bucket, each node is compared with a central one (the
 node that meets most others) and with one by hash; buckets of SMALL nodes at most
-also compare all their pairs; nodes of larger ones meet again in sub-buckets of two
-bands, treated the same. So no bucket emits all its pairs, and a group, however large, spreads over
+also compare all their pairs. Larger ones whose nodes aren't all in one component by then
+are dealt into blocks, and pairs of blocks compare all pairs of their nodes that are in
+different components, each pair in the first bucket that it shares. A task emits the links
+that connect something new, so no bucket emits all its pairs, and a group, however large, spreads over
 tasks. Pairs whose sizes exclude 0.8, or whose signatures are six standard deviations
 below it, are dropped, the rest verified exactly: the Jaccard similarity
 of the sets of five-grams is at least 0.8. Classes are the connected components of
@@ -41,7 +43,7 @@ N = 5
 BANDS, ROWS = 28, 5
 SIZE = BANDS * ROWS
 SMALL = 12
-SUBBANDS = 6
+BLOCK, BLOCK_GRAMS = 256, 200_000
 ESTIMATE = 0.58
 UNITS = 100_000
 WORD = re.compile(r"[^\W_]+")
@@ -225,6 +227,90 @@ def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("la is null or lb is null or la <> lb").select("a", "b")
 
 
+def settled(large: DataFrame, nodes: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all that is similar in the buckets of large (bucket, node), beyond the components of parts.
+
+    Buckets in one component are settled. The nodes of the others are dealt into blocks by hash, of BLOCK nodes and
+    BLOCK_GRAMS five-grams on average; pairs of blocks compare sizes and signatures of all their pairs, then the
+    five-grams of what is left."""
+    own = nodes.join(parts, "node", "left").select("node", "n", "bands", "sketch", F.coalesce("label", "node").alias("label"))
+    met = stored(large.distinct().join(own.select("node", "n", "label"), "node"))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("grams"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    dealt = stored(sizes.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")))
+    placed = met.select("bucket", "node").distinct().join(dealt, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int").alias("block"))
+    whole = placed.join(own, "node").filter(F.array_contains("bands", F.col("bucket")))
+    blocks = stored(whole.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "n", "label", "bands", "sketch")).alias("members")))
+    side = lambda k, m: blocks.select("bucket", F.col("block").alias(k), F.col("members").alias(m))
+    two = dealt.select("bucket", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("bucket", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+    two = two.join(side("i", "x"), ["bucket", "i"]).join(side("j", "y"), ["bucket", "j"]).select("bucket", "i", "j", "x", "y")
+
+    def columns(members):
+        get = lambda c: members.field(c).to_numpy(zero_copy_only=False)
+        bands = members.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        return get("node"), get("n"), get("label"), bands, np.frombuffer(b"".join(members.field("sketch").to_pylist()), "<u2").reshape(-1, SIZE)
+
+    def meet(batches):
+        for batch in batches:
+            out: dict = {k: [] for k in ("bucket", "i", "j", "a", "b", "la", "lb")}
+            for r in range(batch.num_rows):
+                bucket, i, j = (batch.column(c)[r].as_py() for c in range(3))
+                (ids, n, label, bands, sketch), (ids2, n2, label2, bands2, sketch2) = (columns(batch.column(c)[r].values) for c in (3, 4))
+                found = []
+                for k in range(len(ids)):
+                    near = (label2 != label[k]) & (5 * np.minimum(n2, n[k]) >= 4 * np.maximum(n2, n[k]))
+                    if i == j:
+                        near[:k] = False
+                    q = np.flatnonzero(near)
+                    same = bands2[q] == bands[k]
+                    first = same.argmax(1) if len(q) else q
+                    q = q[same[np.arange(len(q)), first] & (bands[k][first] == bucket)]
+                    q = q[(sketch2[q] == sketch[k]).mean(1) >= ESTIMATE] if len(q) else q
+                    found += [(k, x) for x in q]
+                if found:
+                    p, q = np.array(found).T
+                    for name, value in zip(out, (bucket, i, j, ids[p], ids2[q], label[p], label2[q])):
+                        out[name].append(value)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, sets = [], []
+        for node, text in zip(right.column("node").to_pylist(), right.column("text").to_pylist()):
+            g = np.unique(grams(word_codes(text)))
+            if len(g):
+                ids.append(node), sets.append(g)
+        label, root, wanted, out = {}, {}, {}, []
+        for row in left.to_pylist():
+            for a, b, la, lb in zip(row["a"], row["b"], row["la"], row["lb"]):
+                label[a], label[b] = la, lb
+                wanted.setdefault(a, set()).add(b)
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        ids, size = np.array(ids, np.int64), np.array([len(g) for g in sets], np.int64)
+        starts = np.cumsum(size) - size
+        vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+        for k, a in enumerate(ids.tolist()):
+            if a not in wanted:
+                continue
+            mark = np.zeros(len(vocabulary), np.int64)
+            mark[at[starts[k] : starts[k] + size[k]]] = 1
+            both = np.add.reduceat(mark[at], starts)
+            for b in ids[5 * both >= 4 * (size + size[k] - both)].tolist():
+                if b in wanted[a] and (x := top(label[a])) != (y := top(label[b])):
+                    root[max(x, y)] = min(x, y)
+                    out.append((a, b))
+        return pa.table({c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate("ab")})
+
+    at = ["bucket", "i", "j"]
+    hits = stored(two.mapInArrow(meet, "bucket long, i int, j int, a array<long>, b array<long>, la array<long>, lb array<long>"))
+    read = hits.select(*at, F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).join(texts, "node").select(*at, "node", "text").toDF("at", "at_i", "at_j", "node", "text")
+    return hits.groupBy(*at).cogroup(read.groupBy("at", "at_i", "at_j")).applyInArrow(link, "a long, b long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of each document of docs (doc_id, text)."""
     ship(docs.sparkSession)
@@ -237,17 +323,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     star, small, large = compared(nodes.select("node", F.explode("bands").alias("bucket")).select("bucket", "node"))
     first = stored(verified(plausible(star, nodes), texts))
-    parts = components(first)
-    # nodes of large buckets meet again where they also share another band
-    others = F.transform(F.sequence(F.lit(0), F.lit(SUBBANDS - 1)), lambda k: F.get("bands", (F.array_position("bands", F.col("bucket")) + k) % BANDS))
-    again = large.join(nodes.select("node", "bands"), "node").select("node", "bucket", F.explode(others).alias("other"))
-    star2, small2, _ = compared(again.select(F.xxhash64("bucket", "other").alias("bucket"), "node").distinct())
-    rest = apart(small.unionAll(star2).unionAll(small2).distinct(), parts)
-    second = verified(plausible(rest, nodes), texts)
+    parts = stored(components(first))
+    second = verified(plausible(apart(small, parts), nodes), texts)
+    third = settled(large, nodes, texts, parts)
 
     several = owned.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("doc_id")
     same = owned.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    labels = components(first.unionAll(second).unionAll(same))
+    labels = components(first.unionAll(second).unionAll(third).unionAll(same))
     own = owned.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id")).distinct()
     none = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return own.unionAll(none)
