@@ -305,6 +305,18 @@ def test_near_dedup_family(spark):
     assert {r.doc_id: r.class_id for r in op10_near_dedup.classes(df).collect()} == want
 
 
+def test_near_dedup_repeats(spark):
+    """Copies that differ in how often their five-grams stand there, and in little else."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    rows = []
+    for _ in range(30):
+        t = fresh(400)
+        rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join(t + fresh(50) + t[:150] * 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in op10_near_dedup.classes(df).collect()} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(2)
     e = rng.integers(0, 1 << 63, 900).astype(np.uint64)

@@ -1,11 +1,11 @@
 """Near-duplicates by ProbMinHash, banding and exact verification.
 
-A document is a weighted set of word five-grams; a five-gram that stands there tf times
-weighs 1 + ln tf. ProbMinHash gives every element a Poisson process whose rate is its
+A document is a set of word five-grams; all weigh 1, however often they stand there, so candidates,
+the estimate and the verification are of one similarity. ProbMinHash gives every element a Poisson process whose rate is its
 weight; arrivals fall on random components of the signature, the earliest wins. Elements
 whose next arrival is later than all components' winners are done (early termination),
 so a signature costs little more than one pass. Two signatures agree on a share of
-components that estimates the probability Jaccard similarity.
+components that estimates the probability Jaccard similarity, here that of the sets.
 
 Steps: texts with equal words are one node (pre-aggregated by a digest). Nodes meet in
 buckets, one for each of BANDS bands of ROWS components; a pair of similarity 0.8 misses all of them
@@ -107,11 +107,6 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int = SIZE) -> np
     return winner
 
 
-def weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    g, tf = np.unique(grams(codes), return_counts=True)
-    return g, 1 + np.log(tf)
-
-
 def band_hashes(sig: np.ndarray) -> np.ndarray:
     h = np.arange(BANDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -134,8 +129,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                         key.append(f"null {d}" if t is None else hashlib.md5(b"raw " + t.encode()).hexdigest())
                         n.append(0), bands.append([]), sketch.append(b"")
                         continue
-                    g, w = weighted(codes)
-                    sig = signature(g, w)
+                    g = np.unique(grams(codes))
+                    sig = signature(g, np.ones(len(g)))
                     key.append(hashlib.md5(codes.tobytes()).hexdigest())
                     n.append(len(g)), bands.append(band_hashes(sig)), sketch.append((sig & np.uint64(0xFFFF)).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i : i + 500], pa.int64()), "key": pa.array(key, pa.string()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
