@@ -3,9 +3,9 @@ personal data, packing. Each stage gets what the one before it kept; all but the
 return the columns of documents.
 
 1 language: documents that language ID rejects go; lang stays as it was given.
-2 near_duplicates: of each class the document with the smallest id stays; rows without
-  an id stay, of rows that repeat an id the first by text stays.
-3 decontamination: documents that contain a benchmark item go, those without an id too.
+2 near_duplicates: rows are compared, whether ids repeat or are null; of each class the row with the smallest
+  id stays, of equal ids the first by text, one without an id only where no row of the class has one.
+3 decontamination: rows that contain a benchmark item go, whatever their ids.
 4 pii: personal data is replaced, n_chars follows.
 5 packing: the pieces of sequences of 2048 tokens.
 """
@@ -25,30 +25,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_language_id.identified(docs, profiles, docs.columns).filter("not rejected").select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a number of its own for each row; stored, so that it stays."""
+    return common.stored(docs.withColumn("_key", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = op10_near_dedup.classes(docs.select("doc_id", "text"))
-    gone = classes.filter("doc_id <> class_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    one = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_n = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    rows = keyed(docs)
+    classes = op10_near_dedup.classes(rows.select(F.col("_key").alias("doc_id"), "text")).toDF("_key", "class_id")
+    of = common.stored(rows.select("_key", "doc_id").join(classes, "_key"))
+    low = common.stored(of.groupBy("class_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("class_id", "low"))
+    several = common.stored(of.join(low, "class_id"))
+    first = several.filter("doc_id <=> low").select("_key", "class_id").join(rows.select("_key", "text"), "_key")
+    stays = first.groupBy("class_id").agg(F.min(F.struct("text", "_key")).alias("x")).select("x._key")
+    gone = several.select("_key").join(stays, "_key", "left_anti")
+    return rows.join(gone, "_key", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    leaks = op5_decontamination.contained_items(docs, items).select("doc_id").distinct()
-    kept = docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
-    nameless = docs.filter("doc_id is null and text is not null")
-    if nameless.isEmpty():
-        return kept
-    # rows without an id are searched by their texts
-    numbered = common.stored(nameless.select("text").distinct().select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    found = op5_decontamination.contained_items(numbered, items).select("doc_id").distinct()
-    gone = numbered.join(found, "doc_id", "left_semi").select("text")
-    clean = kept.filter("doc_id is null").join(gone, "text", "left_anti").select(docs.columns)
-    return kept.filter("doc_id is not null").unionByName(clean)
+    rows = keyed(docs)
+    leaks = op5_decontamination.contained_items(rows, items, doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(leaks, "_key", "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -355,3 +355,16 @@ def test_pipeline_rows_without_id(spark, tmp_path):
     out = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text) for r in out.collect()} == {(None, "clean words here"), (None, None), (5, "other")} and out.count() == 3
+
+
+def test_pipeline_rows_that_share_ids(spark, tmp_path):
+    """Rows count, not ids: different texts of one id stay, copies go whatever their ids, and a leak takes no other row."""
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{rng.getrandbits(48):x}" for _ in range(80)) for _ in range(5))
+    rows = [(7, a), (7, b), (2, a), (3, b), (7, c), (None, c), (None, d), (None, d), (None, d + " more"), (7, e), (8, e), (7, e), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert texts(out) == collections.Counter([(2, a), (3, b), (7, c), (None, d), (7, e), (None, ""), (None, "")])
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert texts(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == collections.Counter((i, t or "") for i, t in rows if t != a)
