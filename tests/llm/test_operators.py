@@ -176,6 +176,19 @@ def test_pii(spark, empty, monkeypatch):
     assert len(set(made)) == 60 and odd
 
 
+def test_pii_small_spaces(spark):
+    """More entities than their own shape has surrogates for."""
+    words = [*(f"{c}@one.example.com" for c in "abcdefghijklmnopqrst"), *(f"someone@{c}.com" for c in "abcdefghijklmnopqrst"), "password=------------", *(f"_{i}@x.example.org" for i in range(8))]
+    d = spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(words)], SCHEMA)
+    new = [r.text for r in op6_pii_surrogates.redacted(d).collect()]
+    assert len(set(new)) == len(words) and not set(new) & set(words)
+    domains = [t.split("@")[1] for t in new[20:40]]
+    assert len({*domains, *(t.split("@")[1] for t in words[20:40])}) == 40
+    places = [{".".join(op6_pii_surrogates.surrogate("ip", ip, k).split(".")[:2]) for k in range(16)} for ip in ("192.168.3.4", "172.16.9.9")]
+    assert {"192.168", "172.16"} & places[0] == {"192.168"} and all(len(p) > 8 and any(x.startswith("10.") for x in p) for p in places)
+    assert op6_pii_surrogates.written("+1 23-45", "phone", "1/98765") == "+1 98-765"
+
+
 def test_pii_many_exceptions(spark, monkeypatch):
     d = spark.createDataFrame([(i, f"call +1 (555) 010-{1000 + i} now", "", "", "") for i in range(20)], SCHEMA)
     plain = {r.doc_id: r.text for r in op6_pii_surrogates.redacted(d).collect()}

@@ -10,7 +10,9 @@ own, so a person stays recognisable through `Dr. Anna Vogt` and `Ms. Vogt`.
 A surrogate comes from a keyed hash of the entity and a number of attempts: card numbers
 keep their first digit and their Luhn check, IBANs their country and get a valid check,
 phones their country code, addresses in private networks their prefix, names their
-gender's ending and script. It is written in the mention's own format. Distinctness is checked
+gender's ending and script. Where attempts fail, the space grows: every WIDEN of them add a letter
+to mailboxes, domains, secrets and names, and a digit to phones; addresses of small private networks turn to
+10.*, and after 3 * WIDEN attempts to public ones. Card numbers, national numbers and IBANs keep their length. It is written in the mention's own format. Distinctness is checked
 over the corpus: the distinct entities (pre-aggregated in each task) try in rounds; one
 whose surrogate is a real entity, or already given, or claimed by a smaller entity, tries again.
 Entities that needed more than one attempt are few; they are broadcast when counted at
@@ -38,6 +40,7 @@ from .common import documents, ship, stored
 KEY = b"tidewater surrogate key"
 EXCEPTIONS = 100_000
 ROUNDS = 50
+WIDEN = 4
 HELD = 200_000
 
 # Titles with their gender, and common first names by gender and script.
@@ -144,16 +147,19 @@ class Stream:
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical surrogate of an entity."""
     s = Stream(kind, value, attempt, key)
+    more = attempt // WIDEN
     if kind == "local":  # the whole address is the entity, its local part the surrogate
-        return s.shaped(value[: value.index("@")])
+        return s.shaped(value[: value.index("@")] + "a" * more)
     if kind == "domain":
         head, _, top = value.rpartition(".")
-        return f"{s.shaped(head)}.{top}"
+        return f"{s.shaped(head + 'a' * more)}.{top}"
     if kind == "secret":
-        return s.shaped(value)
+        return s.shaped(value) + s.shaped("a" * more)
     if kind == "ip":
         prefix = re.match(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01])|169\.254)\.", value)
         keep = prefix[0].rstrip(".").split(".") if prefix else []
+        if keep and more:
+            keep = [] if more >= 3 else keep[:1] if len(keep) == 1 else ["10"]
         own = [str(1 + s.below(254)) for _ in range(4 - len(keep))]
         if not keep:
             while own[0] in ("10", "127", "169", "172", "192") or int(own[0]) > 223:
@@ -161,7 +167,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return ".".join(keep + own)
     if kind == "phone":
         code, _, rest = value.partition("/")
-        return f"{code}/{''.join(str(1 + s.below(9) if i == 0 and c != '0' else s.below(10)) for i, c in enumerate(rest))}"
+        return f"{code}/{''.join(str(1 + s.below(9) if i == 0 and c != '0' else s.below(10)) for i, c in enumerate(rest + "1" * more))}"
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
         check = (10 - luhn(body + "0")) % 10
@@ -174,7 +180,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     cyrillic = any("Ѐ" <= c <= "ӿ" for c in value)
     onset, vowel = ("бвгдзклмнпрст", "аеиоу") if cyrillic else ("bdfgklmnprstv", "aeiou")
     ends = {"first-f": "а" if cyrillic else "a", "first-m": "н" if cyrillic else "n", "first-n": "е" if cyrillic else "e"}.get(kind, "к" if cyrillic else "k")
-    body = "".join(onset[s.below(len(onset))] + vowel[s.below(len(vowel))] for _ in range(2 + s.below(2) + attempt // 4))
+    body = "".join(onset[s.below(len(onset))] + vowel[s.below(len(vowel))] for _ in range(2 + s.below(2) + more))
     return body + (onset[s.below(len(onset))] if ends in "aеeа" else "") + ends
 
 
@@ -182,7 +188,7 @@ def written(raw: str, kind: str, new: str) -> str:
     """The canonical surrogate in the format of the mention."""
     if kind in ("phone", "card", "national"):
         digits = iter(new.replace("/", ""))
-        return "".join(next(digits) if c.isdigit() else c for c in raw)
+        return "".join(next(digits) if c.isdigit() else c for c in raw) + "".join(digits)
     if kind == "iban":
         chars = iter(new)
         return "".join(" " if c == " " else next(chars) for c in raw)
