@@ -5,7 +5,7 @@ return the columns of documents.
 1 language: documents that language ID rejects go; lang stays as it was given.
 2 near_duplicates: rows are compared, whether ids repeat or are null; of each class the row with the smallest
   id stays, of equal ids the first by text, one without an id only where no row of the class has one.
-3 decontamination: rows that contain a benchmark item go, whatever their ids.
+3 decontamination: rows that contain a text of the benchmark go, whatever the ids of either.
 4 pii: personal data is replaced, n_chars follows.
 5 packing: the pieces of sequences of 2048 tokens.
 """
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     rows = keyed(docs)
-    leaks = op5_decontamination.contained_items(rows, items, doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
+    leaks = op5_decontamination.leaks(rows, items, "_key").toDF("_key")
     return rows.join(leaks, "_key", "left_anti").select(docs.columns)
 
 

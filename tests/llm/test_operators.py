@@ -151,6 +151,27 @@ def test_contained(spark, empty):
     assert op5_decontamination.contained_items(empty, items).count() == 0 and op5_decontamination.contained_items(d, items.limit(0)).count() == 0
 
 
+def test_contained_pools_texts_of_an_id(spark):
+    """As the SQL does."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    items = spark.createDataFrame([(1, a), (1, b), (1, "a b"), (None, b)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"{a} and {b}"), (2, b)], "doc_id long, text string")
+    out = [tuple(r) for r in op5_decontamination.contained_items(d, items).collect()]
+    c = duckdb.connect()
+    c.sql(f"create table documents as select * from (values (1, '{a} and {b}'), (2, '{b}')) t(doc_id, text)")
+    c.sql(f"create table benchmark as select * from (values (1, '{a}'), (1, '{b}'), (1, 'a b'), (null, '{b}')) t(item_id, text)")
+    assert out == c.sql(op5_decontamination.SQL).fetchall() == [(1, 1, 6, 6, 1.0)]
+
+
+def test_leaks_of_any_item(spark, tmp_path):
+    """Shorter texts of an id that repeats, texts without an id and short items are searched too."""
+    a, b, c = ("one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "red green blue yellow pink")
+    spark.createDataFrame([(1, a), (1, b), (None, c), (None, None), (2, "Too short!"), (3, "alone"), (4, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x {c} y"), (4, "it is too short."), (5, "too, and short"), (6, "alone"), (7, None), (8, "nine ten eleven"), (9, "too")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == {5, 7, 8, 9}
+
+
 def test_pii(spark, empty, monkeypatch):
     t = 'mail Anna.B@Mail.example.com or ANNA.B@MAIL.EXAMPLE.COM, +1 (555) 010-9999, 10.0.0.7, 4111 1111 1111 1111, 4111111111111111, DE89 3704 0044 0532 0130 00, token = "0123456789abcdef0123". Dr. Anna Vogt; Ms. Vogt. Господин Иванов'
     d = spark.createDataFrame([(1, t, "k", "s", None), (1, t, "k", "s", None), (2, None, "", "", ""), (3, "version 2.0, nothing here", "", "", "")], SCHEMA)

@@ -15,8 +15,10 @@ and candidate pairs are each broadcast when counted at BROADCAST rows at most, a
 by key beyond it.
 
 Defined results: null and empty texts, and items of fewer than five words, have no
-five-grams and match nothing; of an item id that repeats the longest text counts, of a
-document id the row that shares most; rows without an id are left out; other columns are ignored; empty tables give no rows.
+five-grams and match nothing; the texts of an item id that repeats pool their five-grams, as in SQL; of a
+document id the row that shares most counts; rows without an id are left out; other columns are ignored; empty tables give no rows.
+leaks() instead searches every distinct text of the items by itself, whatever its id, and texts of fewer than
+five words as one n-gram of their length.
 """
 
 from __future__ import annotations
@@ -37,25 +39,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS), "")
 
 
-def shingle_hashes(w: str) -> Column:
-    """A 64-bit hash of each five-gram of the array column named w, in place."""
+def shingle_hashes(w: str, n: int = N) -> Column:
+    """A 64-bit hash of each n-gram of the array column named w, in place."""
     def at(i):
-        return F.xxhash64(*[F.get(F.col(w), i + k) for k in range(N)])
-    return F.when(F.size(w) >= N, F.transform(F.sequence(F.lit(0), F.size(w) - N), at)).otherwise(F.array().cast("array<bigint>"))
+        return F.xxhash64(*[F.get(F.col(w), i + k) for k in range(n)])
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def shingles(w: str) -> Column:
-    """The distinct five-grams as strings."""
+def shingles(w: str, n: int = N) -> Column:
+    """The distinct n-grams as strings."""
     def at(i):
-        return F.array_join(F.slice(F.col(w), i + 1, N), " ")
-    return F.when(F.size(w) >= N, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - N), at))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.slice(F.col(w), i + 1, n), " ")
+    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), at))).otherwise(F.array().cast("array<string>"))
 
 
-def item_sets(items: DataFrame) -> DataFrame:
-    """item_id, grams, hashes: those of the largest text of each id; items without five-grams are left out."""
-    one = items.filter("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.struct(F.length("text").alias("n"), F.col("text").alias("t"))).alias("x"))
-    w = one.select("item_id", words(F.col("x.t")).alias("w")).filter(F.size("w") >= N)
-    return w.select("item_id", shingles("w").alias("grams"), F.array_distinct(shingle_hashes("w")).alias("hashes"))
+def item_sets(items: DataFrame, lengths: tuple = (N,)) -> DataFrame:
+    """item_id, grams, hashes: those of all texts of each id; of texts of fewer than five words one n-gram, if
+    their number of words is among lengths; items without any are left out."""
+    def of(make, kind):
+        short = [F.when(F.size("w") == n, make("w", n)) for n in lengths if n < N]
+        return F.coalesce(F.when(F.size("w") >= N, make("w")), *short, F.array().cast(kind))
+    w = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
+    each = w.select("item_id", of(shingles, "array<string>").alias("grams"), of(shingle_hashes, "array<bigint>").alias("hashes")).filter(F.size("grams") > 0)
+    pooled = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return each.groupBy("item_id").agg(pooled("grams"), pooled("hashes"))
 
 
 def sketches(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -66,25 +73,35 @@ def sketches(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sets.select("item_id", F.explode(bottom).alias("hash"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", lengths: tuple = (N,)) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of the pairs of enough containment."""
-    sets = item_sets(items)
+    sets = item_sets(items, lengths)
+    joined = lambda make: F.concat(*[make("w", n) for n in lengths]) if len(lengths) > 1 else make("w", lengths[0])
     index = sketches(sets, threshold)
     few = index.limit(BROADCAST + 1).count() <= BROADCAST
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("w")).filter(F.col("doc_id").isNotNull())
-    hashed = d.select("doc_id", F.explode(shingle_hashes("w")).alias("hash"))
+    hashed = d.select("doc_id", F.explode(joined(shingle_hashes)).alias("hash"))
     pairs = stored(hashed.join(F.broadcast(index) if few else index, "hash").select("doc_id", "item_id").distinct())
     # the candidates' whole texts against their items' whole sets; texts move only if the pairs are many
     pairs = F.broadcast(pairs) if pairs.limit(BROADCAST + 1).count() <= BROADCAST else pairs
     grams = sets.select("item_id", "grams")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(pairs, "doc_id")
-    own = texts.select("doc_id", "item_id", words(F.col("text")).alias("w")).select("doc_id", "item_id", shingles("w").alias("own"))
+    own = texts.select("doc_id", "item_id", words(F.col("text")).alias("w")).select("doc_id", "item_id", joined(shingles).alias("own"))
     shared = F.size(F.array_intersect("own", "grams")).cast("long")
     found = own.join(F.broadcast(grams) if few else grams, "item_id").select("doc_id", "item_id", F.size("grams").cast("long").alias("n_item"), shared.alias("n_shared"))
     checked = found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     return checked.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= threshold - 1e-12)
 
 
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id of the documents that contain any text of items (text), each searched by itself."""
+    texts = items.filter("text is not null").select("text").distinct()
+    numbered = stored(texts.select(F.monotonically_increasing_id().alias("item_id"), "text"))
+    short = numbered.select(F.size(words(F.col("text"))).alias("n")).filter(F.col("n").between(1, N - 1)).distinct()
+    lengths = (N, *sorted(r.n for r in short.collect()))
+    return contained_items(docs, numbered, doc_id=doc_id, lengths=lengths).select("doc_id").distinct()
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
