@@ -128,6 +128,15 @@ def test_ogg(spark, odd, empty):
         op4_ogg_media.read(data[: len(data) // 2])
 
 
+def test_ogg_level(spark, odd):
+    """The mean of the whole payload, also of periodic ones."""
+    d = spark.createDataFrame([(1, ("z" + "a" * 99) * 192), (2, "é" * 5_000)], "doc_id long, text string")
+    for df in (d, odd):
+        for r, (_, t) in zip(op4_ogg_media.media_features(op4_ogg_media.media_columns(df)).collect(), df.select("doc_id", "text").collect()):
+            p = op4_ogg_media.payload(t)[0]
+            assert f"level={sum(p) // len(p)};" in r.feature
+
+
 def test_ogg_packet_across_pages():
     def page(serial, number, flags, lacing, body):
         raw = bytearray(op4_ogg_media._page(serial, number, flags, 510, []))
