@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with _key, a number of its own for each row; stored, so that it stays."""
-    return common.stored(docs.withColumn("_key", F.monotonically_increasing_id()))
+    return common.stored(docs.withColumn("_key", F.monotonically_increasing_id()), "zstd")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of = common.stored(rows.select("_key", "doc_id").join(classes, "_key"))
     low = common.stored(of.groupBy("class_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("class_id", "low"))
     several = common.stored(of.join(low, "class_id"))
-    first = several.filter("doc_id <=> low").select("_key", "class_id").join(rows.select("_key", "text"), "_key")
-    stays = first.groupBy("class_id").agg(F.min(F.struct("text", "_key")).alias("x")).select("x._key")
-    gone = several.select("_key").join(stays, "_key", "left_anti")
+    first = common.stored(several.filter("doc_id <=> low").select("_key", "class_id"))
+    alone = first.groupBy("class_id").agg(F.count("*").alias("n"), F.min("_key").alias("_key"))
+    # texts are read only where rows of the smallest id are several
+    tied = common.stored(first.join(alone.filter("n > 1").select("class_id"), "class_id"))
+    by_text = tied.join(rows.select("_key", "text"), "_key").groupBy("class_id").agg(F.min(F.struct("text", "_key")).alias("x")).select("x._key")
+    stays = alone.filter("n = 1").select("_key").unionAll(by_text)
+    gone = common.stored(several.select("_key").join(stays, "_key", "left_anti"))
     return rows.join(gone, "_key", "left_anti").select(docs.columns)
 
 
@@ -46,6 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     rows = keyed(docs)
     leaks = op5_decontamination.leaks(rows, items, "_key").toDF("_key")
+    leaks = common.stored(leaks)
     return rows.join(leaks, "_key", "left_anti").select(docs.columns)
 
 

@@ -228,12 +228,12 @@ def settled(large: DataFrame, nodes: DataFrame, texts: DataFrame, parts: DataFra
     Buckets in one component are settled. The nodes of the others are dealt into blocks by hash, of BLOCK nodes and
     BLOCK_GRAMS five-grams on average; pairs of blocks compare sizes and signatures of all their pairs, then the
     five-grams of what is left."""
-    own = nodes.join(parts, "node", "left").select("node", "n", "bands", "sketch", F.coalesce("label", "node").alias("label"))
-    met = stored(large.distinct().join(own.select("node", "n", "label"), "node"))
+    own = nodes.select("node", "n").join(parts, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
+    met = stored(large.distinct().join(own, "node"))
     sizes = met.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("grams"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     dealt = stored(sizes.select("bucket", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")))
-    placed = met.select("bucket", "node").distinct().join(dealt, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int").alias("block"))
-    whole = placed.join(own, "node").filter(F.array_contains("bands", F.col("bucket")))
+    placed = stored(met.select("bucket", "node", "label").distinct().join(dealt, "bucket").select("bucket", "node", "label", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int").alias("block")))
+    whole = nodes.join(placed, "node").filter(F.array_contains("bands", F.col("bucket")))
     blocks = stored(whole.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "n", "label", "bands", "sketch")).alias("members")))
     side = lambda k, m: blocks.select("bucket", F.col("block").alias(k), F.col("members").alias(m))
     two = dealt.select("bucket", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("bucket", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
@@ -302,8 +302,12 @@ def settled(large: DataFrame, nodes: DataFrame, texts: DataFrame, parts: DataFra
 
     at = ["bucket", "i", "j"]
     hits = stored(two.mapInArrow(meet, "bucket long, i int, j int, a array<long>, b array<long>, la array<long>, lb array<long>"))
-    read = hits.select(*at, F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).join(texts, "node").select(*at, "node", "text").toDF("at", "at_i", "at_j", "node", "text")
-    return hits.groupBy(*at).cogroup(read.groupBy("at", "at_i", "at_j")).applyInArrow(link, "a long, b long")
+    # a stored table's size is known, so that texts move only if many are wanted
+    wanted = stored(hits.select(*at, F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")))
+    read = wanted.join(texts, "node").select(*at, "node", "text").toDF("at", "at_i", "at_j", "node", "text")
+    links = stored(hits.groupBy(*at).cogroup(read.groupBy("at", "at_i", "at_j")).applyInArrow(link, "a long, b long"))
+    drop(met, dealt, placed, blocks, hits, wanted)
+    return links
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -313,6 +317,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # the smallest id stands for its words; stored, so that a join can split what a hot key brings
     owner = stored(sigs.groupBy("key").agg(F.min("doc_id").alias("node")))
     owned = stored(sigs.join(owner, "key"))
+    drop(sigs, owner)
     nodes = owned.filter("doc_id = node and n > 0").select("node", "n", "bands", "sketch")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").filter("node is not null and text is not null")
 
