@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, ship, stored
-from .units import encoder
+from .units import encoder, same_ids
 
 WINDOW = 2048
 END = 1
@@ -95,12 +95,13 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str =
     """part, row, doc_id, doc_tokens, start, length, ids_crc32, nth: the pieces of each row; nth counts,
     within part, those of a length below the window, and the full ones."""
     ship(docs.sparkSession)
+    fast = same_ids(tokenizer)
     names = ["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"]
 
     def cut(batches):
         from pyspark import TaskContext
 
-        part, cache, seen = TaskContext.get().partitionId(), encoder(tokenizer), np.zeros(window + 1, np.int64).tolist()
+        part, cache, seen = TaskContext.get().partitionId(), encoder(tokenizer, fast), np.zeros(window + 1, np.int64).tolist()
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             texts, ids = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()

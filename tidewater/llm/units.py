@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -11,6 +12,9 @@ import numpy as np
 WORKER_UNITS = 400_000
 #: Characters that go to an encoder at a time.
 LONG = 1 << 20
+#: Runs of white space from this length on go to the tokenizer; the faster encoder's expressions can't match them.
+RUN = 10_000
+SPACES = re.compile(r"\s{64,}")
 CUT = re.compile(r" (?=\S)")
 #: Beyond the Latin script and common punctuation, or controls that libraries class differently.
 ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]")
@@ -43,25 +47,49 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def same_ids(path: str) -> bool:
+    """Whether an encoder that merges by rank gives the ids of the tokenizer of a .json file.
+
+    It does if the file has the byte-level pre-tokenizer of public_tokenizers.PATTERN, merges
+    whose results have ascending ids, and a vocabulary of which each token is its own encoding:
+    then no merge that the file doesn't list can come up, as two tokens that stand side by side
+    do so in the token's own encoding too, which goes through the listed merge."""
+    key = ("same", path)
+    if key not in _open:
+        file = json.loads(byte_bpe(path).to_str())
+        model, before = file["model"], file["pre_tokenizer"] or {}
+        plain = file["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        vocab = model.get("vocab", {})
+        if plain:
+            made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+            own = byte_bpe(path).model
+            plain = made == sorted(made) and -1 not in made and set("".join(vocab)) <= set(byte_letters()) and all([t.id for t in own.tokenize(x)] == [i] for x, i in vocab.items())
+        _open[key] = bool(plain)
+    return _open[key]
+
+
 class Ids:
     """Ids of whole texts by a byte-level tokenizer, as bytes of little-endian unsigned 32-bit integers.
 
-    Texts of the Latin script go to a faster encoder with the tokenizer's own vocabulary,
-    whose ids are in the order of the merges, so it gives the same ids. All others, and
-    texts that hold a special string, go to the tokenizer. A very long text is cut
-    where a space stands before a non-space: a pre-token begins there whatever surrounds it."""
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+    With fast (see same_ids), texts of the Latin script go to a faster encoder with the tokenizer's
+    own vocabulary. All others, texts that hold a special string and long runs of white space go
+    to the tokenizer. With fast, a very long text is cut where a space stands before a non-space:
+    a pre-token of the pattern begins there whatever surrounds it."""
 
+    def __init__(self, path: str, fast: bool):
         self.tokenizer, letters = byte_bpe(path), byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
-        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = None
+        if fast:
+            import public_tokenizers
+            import tiktoken
+
+            ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def one(self, text: str) -> bytes:
-        if len(text) > LONG and not any(s in text for s in self.special):
+        if self.fast and len(text) > LONG and not any(s in text for s in self.special):
             at, out = 0, []
             while at < len(text):
                 cut = CUT.search(text, at + LONG) if at + LONG < len(text) else None
@@ -72,7 +100,8 @@ class Ids:
         return self._part(text)
 
     def _part(self, text: str) -> bytes:
-        if ODD.search(text) or any(s in text for s in self.special):
+        odd = not self.fast or ODD.search(text) or any(s in text for s in self.special)
+        if odd or (len(text) >= RUN and any(len(m[0]) >= RUN for m in SPACES.finditer(text))):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes()
 
@@ -80,8 +109,9 @@ class Ids:
         return [self.one(t) for t in texts]
 
 
-def encoder(path: str) -> Ids:
-    key = ("ids", path)
+def encoder(path: str, fast: bool) -> Ids:
+    """fast: what same_ids() says, asked once by the driver."""
+    key = ("ids", path, fast)
     if key not in _open:
-        _open[key] = Ids(path)
+        _open[key] = Ids(path, fast)
     return _open[key]
