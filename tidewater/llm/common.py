@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time.
@@ -18,6 +21,7 @@ CHUNK_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 _state: dict = {}
+_stored: list[DataFrame] = []
 
 
 def worker_state(key, make):
@@ -54,32 +58,72 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where
-    it is unset (tests) a temporary folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a
+    temporary folder of this machine if all runs in one process (tests); else an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
+def until_exit(spark: SparkSession, path: str) -> Callable[[], None]:
+    """Have a folder removed when the JVM ends; what is returned removes it now."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
+    return lambda: files.delete(at, True)
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back, so that what follows neither
     recomputes it nor loses it with an executor. Removed when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
-    out._drop = lambda: files.delete(at, True)
+    out._drop = until_exit(spark, path)
+    _stored.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables that are stored inside go at the end, but for those put into the list it gives."""
+    begin, keep = len(_stored), []
+    try:
+        yield keep
+    finally:
+        drop(*(t for t in _stored[begin:] if not any(t is k for k in keep)))
+        _stored[begin:] = keep
+
+
+def few(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has that many rows at most; else Spark joins by key."""
+    return F.broadcast(df) if few(df, rows) else df
+
+
+def free_name(base: str, df: DataFrame) -> str:
+    """base, or base and as many underscores as it takes, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables of stored() that nothing will read any more."""
     for t in tables:

@@ -6,19 +6,21 @@ count and then code, are its profile. A language's profile is that of its traini
 documents. The distance of a text to a language is the sum of how far out of place each
 of its n-grams stands there, PROFILE for one that is absent; the smallest wins.
 
-Training takes, for each of the LANGUAGES most common languages, about SAMPLE documents (a hash of the id
-under a bound that follows from the language's count) of those that are not held out;
-their n-gram counts are summed by language and n-gram in the cluster. lang, source and
+Training takes, for each language, about SAMPLE documents (a hash of the row's id and place
+under a bound that follows from the language's count, so rows that share an id are
+chosen one by one) of those that are not held out; their n-gram counts are summed by language
+and n-gram in the cluster. PROFILE rows a language reach the driver and the workers,
+where a list by n-gram holds them, however many languages there are. lang, source and
 doc_id are not inputs of a prediction.
 
 The score is the runner-up's share of the two smallest distances, from 0.5 to 1; it is
 0 for `und`. `rejected` marks texts that no profile resembles: `und`, or a distance of
 at least REJECT of the largest possible one.
 
-Defined results: null texts and those without a letter are `und`, score 0; ties go to
-the language that sorts first; without a training row every text is `und`; rows that
-repeat get a row each; a null id is not held out, and not trained on; other columns are
-ignored.
+Defined results: null texts and those without a letter (Unicode's class L) are `und`, score 0; texts of any
+length are counted whole; ties go to the language that sorts first; without a training row every text is `und`; rows that
+repeat get a row each; a null id is not held out, and not trained on; an empty table gives no rows; other columns are
+ignored, or passed on where they are to be kept, and one of the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fold, ship, worker_state
+from .common import columns, documents, fold, ship, small, stored, worker_state
 
 PROFILE = 300
 SAMPLE = 1_000
 REJECT = 0.97
-LANGUAGES = 1_000
+#: Languages whose counts are broadcast.
+SIZES = 100_000
 WORD = re.compile(r"[^\W\d_]+")
+RESULTS = ("lang_pred", "score", "rejected")
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +53,10 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     The distinct words stand in one string between spaces, which mark their ends; an
     n-gram counts as often as its word. A code is a code point in each 21 bits."""
     seen = collections.Counter(WORD.findall(text.lower()))
+    for w in [w for w in seen if not w.isalpha()]:  # with numerals that aren't digits
+        n = seen.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            seen[part] += n
     if not seen:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {' '.join(seen)} ".encode("utf-32-le"), "<u4").astype(np.int64)
@@ -73,14 +81,17 @@ def profile(text: str) -> np.ndarray:
 
 
 class Profiles:
-    """Out-of-place distances to the languages' profiles, all at once."""
+    """Out-of-place distances to the languages' profiles, all at once, by a list of (language, rank) for each n-gram."""
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
-        self.codes = np.unique(np.array([c for p in profiles.values() for c in p], np.int64))
-        self.rank = np.full((len(self.langs), len(self.codes) + 1), -1, np.int64)
-        for i, lang in enumerate(self.langs):
-            self.rank[i, np.searchsorted(self.codes, profiles[lang])] = np.arange(len(profiles[lang]))
+        sizes = [len(profiles[lang]) for lang in self.langs]
+        codes = np.array([c for lang in self.langs for c in profiles[lang]], np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.first = np.append(first, len(codes))
+        self.lang = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.rank = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0, np.int64)])[order]
 
     def nearest(self, profile: np.ndarray) -> tuple[str, float, bool]:
         """Language, score, rejected."""
@@ -88,9 +99,12 @@ class Profiles:
             return "und", 0.0, True
         at = np.searchsorted(self.codes, profile)
         at[at == len(self.codes)] = 0
-        known = self.codes[at] == profile
-        rank = self.rank[:, np.where(known, at, len(self.codes))]
-        apart = np.where(rank < 0, PROFILE, np.abs(rank - np.arange(len(profile)))).sum(1)
+        place = np.flatnonzero(self.codes[at] == profile)
+        begin, end = self.first[at[place]], self.first[at[place] + 1]
+        n = end - begin
+        entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        nearer = PROFILE - np.abs(self.rank[entry] - np.repeat(place, n))
+        apart = PROFILE * len(profile) - np.bincount(self.lang[entry], nearer, len(self.langs)).astype(np.int64)
         order = np.argsort(apart, kind="stable")
         best = int(apart[order[0]])
         other = int(apart[order[1]]) if len(order) > 1 else PROFILE * len(profile)
@@ -101,9 +115,9 @@ def language_profiles(docs: DataFrame) -> dict[str, list[int]]:
     """Each language's profile from docs (doc_id, text, lang), held-out rows aside."""
     ship(docs.sparkSession)
     train = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1) & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = train.join(F.broadcast(sizes), "lang").filter(share < SAMPLE / F.col("n")).select("lang", "text")
+    sizes = stored(train.groupBy("lang").agg(F.count("*").alias("n")))
+    share = F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 20)) / float(1 << 20)
+    chosen = train.withColumn("place", F.monotonically_increasing_id()).join(small(sizes, SIZES), "lang").filter(share < SAMPLE / F.col("n")).select("lang", "text")
 
     def count(batches):
         sums: dict = {}
@@ -123,23 +137,24 @@ def language_profiles(docs: DataFrame) -> dict[str, list[int]]:
     return {lang: [c for _, c in sorted(p)] for lang, p in profiles.items()}
 
 
-def identified(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str] = ()) -> DataFrame:
-    """The columns keep of docs, lang_pred, score and rejected, of each row."""
+def identified(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str] = (), text: str = "text", results: tuple[str, str, str] = RESULTS) -> DataFrame:
+    """The columns keep of docs, then lang_pred, score and rejected under the names of results, of each row."""
     spark = ship(docs.sparkSession)
     held, key = spark.sparkContext.broadcast(profiles), uuid.uuid4().hex
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    names = [f.name for f in fields]
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    kept = [(c, f) for c, f in zip(columns(docs), docs.schema.fields) if f.name in keep and f.name.lower() not in {r.lower() for r in results}]
+    names = [*(f"c{i}" for i in range(len(kept))), "lang", "score", "rejected"]  # any name of a column would not do in mapInArrow
+    kinds = [*(f.dataType for _, f in kept), T.StringType(), T.DoubleType(), T.BooleanType()]
 
     def predict(batches):
         languages = worker_state(key, lambda: Profiles(held.value))
         for b in batches:
             found = [languages.nearest(profile(t)) if t else ("und", 0.0, True) for t in b.column(0).to_pylist()]
             lang, score, rejected = zip(*found) if found else ((), (), ())
-            cols = {n: b.column(i + 1) for i, n in enumerate(names)}
-            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*cols, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names)
 
-    return docs.select(F.col("text").alias("_text"), *names).mapInArrow(predict, T.StructType([*fields, *added]))
+    d = docs.select(F.col(text).alias("text"), *(c.alias(n) for (c, _), n in zip(kept, names)))
+    out = d.mapInArrow(predict, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    return out.toDF(*(f.name for _, f in kept), *results)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
