@@ -2,23 +2,22 @@
 DataFrame functions only.
 
 Items and documents are sets of word five-grams (words: runs of letters and digits,
-lower case). Containment is the share of an item's five-grams that a document has; pairs
+lower case); a text of fewer than five words is one n-gram of all its words. Containment is the share of an item's n-grams that a document has; pairs
 of THRESHOLD or more are returned. Items are partitioned by size: those with up to
-2**k five-grams have a bottom sketch, the smallest MinHash values of their set, of more
-than (1 - THRESHOLD) * 2**k values. A document of enough containment lacks fewer five-grams than
+2**k n-grams have a bottom sketch, the smallest MinHash values of their set, of more
+than (1 - THRESHOLD) * 2**k values. A document of enough containment lacks fewer n-grams than
 the sketch has, so it holds at least one value of the sketch, however long it is:
-the candidates are complete. They are verified by exact containment of the five-grams
-as strings.
+the candidates are complete. A partition isn't searched in documents that have fewer n-grams than THRESHOLD of its
+smallest possible item. Candidates are verified by exact containment of the n-grams as strings.
 
 Documents stay whole. Only (id, item) pairs that meet in a sketch are shuffled; sketches
-and candidate pairs are each broadcast when counted at BROADCAST rows at most, and joined
-by key beyond it.
-
-Defined results: null and empty texts, and items of fewer than five words, have no
-five-grams and match nothing; the texts of an item id that repeats pool their five-grams, as in SQL; of a
-document id the row that shares most counts; rows without an id are left out; other columns are ignored; empty tables give no rows.
-leaks() instead searches every distinct text of the items by itself, whatever its id, and texts of fewer than
-five words as one n-gram of their length.
+and candidate pairs are each broadcast when counted at BROADCAST rows at most. Beyond it, a table of bits of the
+sketches' values, of 2**WORD_BITS words whatever their number, is broadcast, and only n-grams whose bit is set are joined by key.
+
+Defined results: null and empty texts have no n-grams and match nothing; every distinct text of an item id that repeats is searched
+by itself, and the pair has the result of the text of the highest containment, of those the one with most n-grams; items without an id are searched too
+and have the id null; of a document id that repeats, and of documents without an id, the row that shares most counts; ties give one row;
+texts of any length are whole; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, few, small, stored
 
 N = 5
 THRESHOLD = 0.8
-BROADCAST = 200_000
+BROADCAST = 500_000
+#: Items whose n-grams are broadcast: some KB each.
+GRAMS = 20_000
+WORD_BITS = 20
 WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -53,53 +55,81 @@ def shingles(w: str, n: int = N) -> Column:
     return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), at))).otherwise(F.array().cast("array<string>"))
 
 
-def item_sets(items: DataFrame, lengths: tuple = (N,)) -> DataFrame:
-    """item_id, grams, hashes: those of all texts of each id; of texts of fewer than five words one n-gram, if
-    their number of words is among lengths; items without any are left out."""
+def numbered_items(items: DataFrame) -> DataFrame:
+    """key, item_id, text: the distinct texts of each id; stored, so that a key stays."""
+    rows = items.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    return stored(rows.select(F.monotonically_increasing_id().alias("key"), "item_id", "text"))
+
+
+def short_lengths(numbered: DataFrame) -> tuple[int, ...]:
+    """The lengths of n-grams that the items need: N and their numbers of words below it."""
+    short = numbered.select(F.size(words(F.col("text"))).alias("n")).filter(F.col("n").between(1, N - 1)).distinct()
+    return (N, *sorted(r.n for r in short.collect()))
+
+
+def item_sets(numbered: DataFrame) -> DataFrame:
+    """key, item_id, grams, hashes; items without words are left out."""
     def of(make, kind):
-        short = [F.when(F.size("w") == n, make("w", n)) for n in lengths if n < N]
-        return F.coalesce(F.when(F.size("w") >= N, make("w")), *short, F.array().cast(kind))
-    w = items.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w"))
-    each = w.select("item_id", of(shingles, "array<string>").alias("grams"), of(shingle_hashes, "array<bigint>").alias("hashes")).filter(F.size("grams") > 0)
-    pooled = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    return each.groupBy("item_id").agg(pooled("grams"), pooled("hashes"))
+        return F.coalesce(F.when(F.size("w") >= N, make("w")), *[F.when(F.size("w") == n, make("w", n)) for n in range(1, N)], F.array().cast(kind))
+    w = numbered.select("key", "item_id", words(F.col("text")).alias("w"))
+    each = w.select("key", "item_id", of(shingles, "array<string>").alias("grams"), F.array_distinct(of(shingle_hashes, "array<bigint>")).alias("hashes"))
+    return each.filter(F.size("grams") > 0)
 
 
 def sketches(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """hash, item_id: the bottom sketch of each item, its length set by the size partition."""
-    upper = F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes").cast("double"))))
-    length = F.floor(upper * (1 - threshold) + 1e-9).cast("int") + 1
+    """hash, key, least: the bottom sketch of each item, its length set by the size partition, and the n-grams that
+    a document of enough containment of the partition's smallest item has."""
+    k = F.ceil(F.log2(F.size("hashes").cast("double")))
+    length = F.floor(F.pow(F.lit(2), k) * (1 - threshold) + 1e-9).cast("int") + 1
+    least = F.ceil((F.floor(F.pow(F.lit(2), k - 1)) + 1) * threshold - 1e-9).cast("int")
     bottom = F.slice(F.array_sort("hashes"), 1, length)
-    return sets.select("item_id", F.explode(bottom).alias("hash"))
+    return sets.select("key", F.when(k == 0, 1).otherwise(least).alias("least"), F.explode(bottom).alias("hash"))
+
+
+def candidates(hashed: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of hashed (row, size, hash) that meet a value of index (hash, key, least): row, key."""
+    near = F.col("size") >= F.col("least")
+    if few(index, BROADCAST):
+        return hashed.join(F.broadcast(index), "hash").filter(near).select("row", "key").distinct()
+    word, bit = F.shiftrightunsigned("hash", 64 - WORD_BITS), F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    bits = index.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    seen = hashed.withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return seen.select("row", "size", "hash").distinct().join(index, "hash").filter(near).select("row", "key").distinct()
+
+
+def found(docs: DataFrame, numbered: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc, key, n_item, n_shared of the pairs of enough containment, from docs (doc, text).
+
+    Rows are known by a hash of their texts, so copies are searched for once and ids may repeat or be null;
+    every row is verified by its own text, so hashes that collide do no harm."""
+    sets, lengths = item_sets(numbered), short_lengths(numbered)
+    def joined(make):
+        return F.concat(*[make("w", n) for n in lengths]) if len(lengths) > 1 else make("w", N)
+    d = docs.filter("text is not null").withColumn("row", F.xxhash64("text"))
+    w = d.select("row", words(F.col("text")).alias("w"))
+    # apart from the explode, so that no row drags the words along; outer, or else the planner filters by the array's
+    # size before it, with the words cut anew for every n-gram (a row without any joins nothing)
+    hashed = w.select("row", F.size("w").alias("size"), joined(shingle_hashes).alias("h")).select("row", "size", F.explode_outer("h").alias("hash"))
+    pairs = stored(candidates(hashed, sketches(sets, threshold)))
+    # the candidates' whole texts against their items' whole sets; texts move only if the pairs are many
+    own = d.join(small(pairs, BROADCAST), "row").select("doc", "key", words(F.col("text")).alias("w")).select("doc", "key", joined(shingles).alias("own"))
+    shared = F.size(F.array_intersect("own", "grams")).cast("long")
+    both = own.join(small(sets.select("key", "grams"), GRAMS), "key").select("doc", "key", F.size("grams").cast("long").alias("n_item"), shared.alias("n_shared"))
+    return both.filter(F.col("n_shared") / F.col("n_item") >= threshold - 1e-12)
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", lengths: tuple = (N,)) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of the pairs of enough containment."""
-    sets = item_sets(items, lengths)
-    joined = lambda make: F.concat(*[make("w", n) for n in lengths]) if len(lengths) > 1 else make("w", lengths[0])
-    index = sketches(sets, threshold)
-    few = index.limit(BROADCAST + 1).count() <= BROADCAST
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("w")).filter(F.col("doc_id").isNotNull())
-    hashed = d.select("doc_id", F.explode(joined(shingle_hashes)).alias("hash"))
-    pairs = stored(hashed.join(F.broadcast(index) if few else index, "hash").select("doc_id", "item_id").distinct())
-    # the candidates' whole texts against their items' whole sets; texts move only if the pairs are many
-    pairs = F.broadcast(pairs) if pairs.limit(BROADCAST + 1).count() <= BROADCAST else pairs
-    grams = sets.select("item_id", "grams")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(pairs, "doc_id")
-    own = texts.select("doc_id", "item_id", words(F.col("text")).alias("w")).select("doc_id", "item_id", joined(shingles).alias("own"))
-    shared = F.size(F.array_intersect("own", "grams")).cast("long")
-    found = own.join(F.broadcast(grams) if few else grams, "item_id").select("doc_id", "item_id", F.size("grams").cast("long").alias("n_item"), shared.alias("n_shared"))
-    checked = found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
-    return checked.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= threshold - 1e-12)
+    numbered = numbered_items(items)
+    pairs = found(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), numbered, threshold)
+    best = pairs.join(small(numbered.select("key", "item_id"), BROADCAST), "key").groupBy(F.col("doc").alias("doc_id"), "item_id")
+    best = best.agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("x"))
+    return best.select("doc_id", "item_id", "x.n_item", "x.n_shared", "x.containment")
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id of the documents that contain any text of items (text), each searched by itself."""
-    texts = items.filter("text is not null").select("text").distinct()
-    numbered = stored(texts.select(F.monotonically_increasing_id().alias("item_id"), "text"))
-    short = numbered.select(F.size(words(F.col("text"))).alias("n")).filter(F.col("n").between(1, N - 1)).distinct()
-    lengths = (N, *sorted(r.n for r in short.collect()))
-    return contained_items(docs, numbered, doc_id=doc_id, lengths=lengths).select("doc_id").distinct()
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc of the documents (doc, text) that contain any text of items (item_id, text)."""
+    return found(docs, numbered_items(items)).select("doc").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +137,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM dw WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM bw WHERE len(w) >= 5),
-n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (g) GROUP BY ALL)
-SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
-FROM s JOIN n USING (item_id) WHERE n_shared / n_item >= 0.8 - 1e-12
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+bw AS (SELECT row_number() OVER () AS key, item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+lengths AS (SELECT DISTINCT least(len(w), 5) AS k FROM bw WHERE len(w) > 0),
+ds AS (SELECT DISTINCT r, doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM dw, lengths WHERE len(w) >= k),
+bs AS (SELECT DISTINCT key, item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i+least(len(w), 5)-1], ' '))) AS g FROM bw WHERE len(w) > 0),
+n AS (SELECT key, count(*) AS n_item FROM bs GROUP BY key),
+s AS (SELECT r, doc_id, key, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, g) GROUP BY ALL),
+f AS (SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM s JOIN n USING (key) WHERE n_shared / n_item >= 0.8 - 1e-12)
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_item DESC) = 1
 """
