@@ -3,10 +3,10 @@ logical streams, and times from granule positions.
 
 write() stores 8-bit samples as packets of PACKET samples, dealt in turn to two logical
 streams. Each stream begins with a page that holds its header packet (magic, rate, its
-place among the streams, samples in all); data pages end with the granule position of
+place among the streams, samples in all); data pages take PAGE_SEGMENTS lacing values, so packets go on across them, and bear the granule position of
 the last packet that they complete, counted in samples of the whole. read() verifies
-the checksum and the sequence number of every page, reassembles the packets of each
-serial number (also across pages), gives each packet the sample at which it starts from
+the checksum and the sequence number of every page and the marks of a stream's beginning and end, reassembles the packets of each
+serial number, gives each packet the sample at which it starts from
 the granule positions, and puts the samples in the order of these times.
 
 Defined results: null text counts as empty; any text is padded with spaces to a positive
@@ -31,7 +31,7 @@ from .common import documents, ship
 
 FRAME = 192
 PACKET = FRAME * 10
-PAGE_PACKETS = 16
+PAGE_SEGMENTS = 100
 RATE = 8_000
 MAGIC = b"OggU8PCM"
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -43,12 +43,14 @@ def checksum(page: bytes) -> int:
     return int.from_bytes(r.to_bytes(4, "little").translate(_REVERSED), "big")
 
 
-def _page(serial: int, number: int, flags: int, granule: int, packets: list[bytes]) -> bytes:
-    lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+def lacing_of(packet: bytes) -> bytes:
+    return b"\xff" * (len(packet) // 255) + bytes([len(packet) % 255])
+
+
+def _page(serial: int, number: int, flags: int, granule: int, lacing: bytes, body: bytes) -> bytes:
     if len(lacing) > 255:
         raise ValueError("a page has 255 segments at most")
-    head = struct.pack("<4sBBqIIIB", b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing
-    page = head + b"".join(packets)
+    page = struct.pack("<4sBBqIIIB", b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing + body
     return page[:22] + checksum(page).to_bytes(4, "little") + page[26:]
 
 
@@ -56,18 +58,23 @@ def write(samples: bytes, rate: int = RATE) -> bytes:
     """An Ogg file with the samples in two logical streams."""
     first = zlib.crc32(samples)
     serials = (first, first ^ 0x5A5A5A5A)
-    out = [_page(s, 0, 2, 0, [struct.pack("<8sIBBQ", MAGIC, rate, i, len(serials), len(samples))]) for i, s in enumerate(serials)]
+    heads = [struct.pack("<8sIBBQ", MAGIC, rate, i, len(serials), len(samples)) for i in range(len(serials))]
+    out = [_page(s, 0, 2, 0, lacing_of(h), h) for s, h in zip(serials, heads)]
     packets = [samples[i : i + PACKET] for i in range(0, len(samples), PACKET)]
-    numbers = [1, 1]
-    groups = []  # pages in the order of the time at which they end
-    for i in range(len(serials)):
-        own = list(range(i, len(packets), len(serials)))
-        runs = [own[k : k + PAGE_PACKETS] for k in range(0, len(own), PAGE_PACKETS)] or [[]]
-        groups += [(run[-1] if run else -1, i, run, run is runs[-1]) for run in runs]
-    for last, i, run, ends in sorted(groups):
-        granule = min((last + 1) * PACKET, len(samples)) if run else 0
-        out.append(_page(serials[i], numbers[i], 4 * ends, granule, [packets[k] for k in run]))
-        numbers[i] += 1
+    made = []  # (last packet that ends in it, stream, page) of the data pages
+    for i, serial in enumerate(serials):
+        own = range(i, len(packets), len(serials))
+        lacing, body = b"".join(lacing_of(packets[k]) for k in own), b"".join(packets[k] for k in own)
+        at = done = 0
+        for number, begin in enumerate(range(0, max(len(lacing), 1), PAGE_SEGMENTS), 1):
+            values = lacing[begin : begin + PAGE_SEGMENTS]
+            size, going = sum(values), begin > 0 and lacing[begin - 1] == 255
+            done += sum(v < 255 for v in values)
+            last = own[done - 1] if done else -1
+            granule = min((last + 1) * PACKET, len(samples)) if any(v < 255 for v in values) or not values else -1
+            made.append((last, i, _page(serial, number, going + 4 * (begin + PAGE_SEGMENTS >= len(lacing)), granule, values, body[at : at + size])))
+            at += size
+    out += [page for _, _, page in sorted(made, key=lambda x: x[:2])]
     return b"".join(out)
 
 
@@ -92,11 +99,14 @@ def demultiplex(data: bytes) -> tuple[dict[int, list[tuple[int, bytes]]], int]:
     streams: dict[int, list] = {}
     partial: dict[int, bytes] = {}
     expected: dict[int, int] = {}
+    ended: set[int] = set()
     n_pages = 0
     for flags, granule, serial, number, lacing, body in pages(data):
         n_pages += 1
-        if number != expected.get(serial, 0) or bool(flags & 2) != (number == 0) or bool(flags & 1) != bool(partial.get(serial)):
+        if serial in ended or number != expected.get(serial, 0) or bool(flags & 2) != (number == 0) or bool(flags & 1) != bool(partial.get(serial)):
             raise ValueError("a page is missing or out of order")
+        if flags & 4:
+            ended.add(serial)
         expected[serial] = number + 1
         own = streams.setdefault(serial, [])
         at = size = 0
@@ -110,8 +120,8 @@ def demultiplex(data: bytes) -> tuple[dict[int, list[tuple[int, bytes]]], int]:
             partial[serial] = partial.get(serial, b"") + body[at : at + size]
         if any(v < 255 for v in lacing):
             own[last] = (granule, own[last][1])
-    if any(partial.values()):
-        raise ValueError("a packet has no end")
+    if any(partial.values()) or ended != set(streams):
+        raise ValueError("a packet or a stream has no end")
     return streams, n_pages
 
 
