@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import (
     op1_token_counts,
     op2_chat_format,
@@ -15,6 +13,7 @@ from . import (
     op8_huffman_output,
     op9_language_id,
     op10_near_dedup,
+    pipeline,
 )
 
 QUERIES = {
@@ -28,7 +27,7 @@ QUERIES = {
     "op8_huffman_output": op8_huffman_output.query,
     "op9_language_id": op9_language_id.query,
     "op10_near_dedup": op10_near_dedup.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {
     "op2_chat_format": op2_chat_format.SQL,
