@@ -1,77 +1,5 @@
-"""A corpus pipeline over `documents`: language, near-duplicates, benchmark leaks,
-personal data, packing. Each stage gets what the one before it kept; all but the last
-return the columns of documents.
+"""The corpus pipeline; its stages are in tidewater.llm.pipeline."""
 
-1 language: documents that language ID rejects go; lang stays as it was given.
-2 near_duplicates: rows are compared, whether ids repeat or are null; of each class the row with the smallest
-  id stays, of equal ids the first by text, one without an id only where no row of the class has one.
-3 decontamination: rows that contain a text of the benchmark go, whatever the ids of either.
-4 pii: personal data is replaced, n_chars follows.
-5 packing: the pieces of sequences of 2048 tokens.
-"""
+from tidewater.llm.pipeline import ORACLE_SQL, STAGES, decontamination, language, near_duplicates, packing, pii, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from tidewater.llm import common, op5_decontamination, op6_pii_surrogates, op7_packing, op9_language_id, op10_near_dedup
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    profiles = op9_language_id.language_profiles(docs)
-    return op9_language_id.identified(docs, profiles, docs.columns).filter("not rejected").select(docs.columns)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, a number of its own for each row; stored, so that it stays."""
-    return common.stored(docs.withColumn("_key", F.monotonically_increasing_id()), "zstd")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    classes = op10_near_dedup.classes(rows.select(F.col("_key").alias("doc_id"), "text")).toDF("_key", "class_id")
-    of = common.stored(rows.select("_key", "doc_id").join(classes, "_key"))
-    low = common.stored(of.groupBy("class_id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("class_id", "low"))
-    several = common.stored(of.join(low, "class_id"))
-    first = common.stored(several.filter("doc_id <=> low").select("_key", "class_id"))
-    alone = first.groupBy("class_id").agg(F.count("*").alias("n"), F.min("_key").alias("_key"))
-    # texts are read only where rows of the smallest id are several
-    tied = common.stored(first.join(alone.filter("n > 1").select("class_id"), "class_id"))
-    by_text = tied.join(rows.select("_key", "text"), "_key").groupBy("class_id").agg(F.min(F.struct("text", "_key")).alias("x")).select("x._key")
-    stays = alone.filter("n = 1").select("_key").unionAll(by_text)
-    gone = common.stored(several.select("_key").join(stays, "_key", "left_anti"))
-    return rows.join(gone, "_key", "left_anti").select(docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    rows = keyed(docs)
-    leaks = op5_decontamination.leaks(rows, items, "_key").toDF("_key")
-    leaks = common.stored(leaks)
-    return rows.join(leaks, "_key", "left_anti").select(docs.columns)
-
-
-def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = op6_pii_surrogates.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op7_packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
-
-#: SQL can't express rank-order profiles, ProbMinHash classes, surrogates or bin packing.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written as Parquet and read again."""
-    docs = common.documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "decontamination", "language", "near_duplicates", "packing", "pii", "run"]
