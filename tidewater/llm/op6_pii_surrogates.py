@@ -95,10 +95,16 @@ PERSON = re.compile(
     rf"|(?P<east>[{FAMILY[:20]}][一-鿿]{{1,2}}(?=(?:{EASTERN}))|[{FAMILY[20:]}][가-힣]{{2}}(?= ?(?:{EASTERN}))|[ァ-ヿ]{{2,}}(?=(?:{EASTERN})))"
 )
 SEEN = re.compile("[0-9@=:]")
-CAPITAL = re.compile(r"[A-ZÀ-ÞΑ-ΩΆ-ΏА-Я]\w*")
 WORD = re.compile(_NAME)
-NAMED = frozenset([*TITLES, *GENDER])
-PHRASES = re.compile("|".join([*BEFORE, *(f" {v}" for v in AFTER), EASTERN, "السيد"]))
+#: Words of which a text has one if it gives a name away, and marks around words.
+TELLING = frozenset([*TITLES, *GENDER, *AFTER, *(w.strip(",:") for p in BEFORE for w in p.split() if w not in ("is", "by"))])
+MARKS = ".,;:!?()[]\"'«»“”„‘’…-"
+EAST = re.compile(EASTERN)
+
+
+def telling(text: str) -> bool:
+    words = set(text.split())
+    return not TELLING.isdisjoint(words) or not TELLING.isdisjoint([w.strip(MARKS) for w in words]) or (not text.isascii() and bool(EAST.search(text)))
 
 
 def luhn(digits: str) -> int:
@@ -170,7 +176,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((a, b, "phone", e164(raw)))
             else:
                 found.append((a, b, kind, re.sub(r"\D", "", raw)))
-    if not NAMED.isdisjoint(CAPITAL.findall(text)) or PHRASES.search(text):
+    if telling(text):
         if names := people(text):
             found = sorted(found + names, key=lambda x: x[:2])
             kept, end = [], 0
