@@ -7,8 +7,32 @@ from pyspark.sql import functions as F
 
 
 def attributes(html: Column, name: str) -> Column:
-    """All values of an attribute in quotes, in order."""
-    return F.regexp_extract_all(html, F.lit(rf"\b{name}=\"([^\"]*)\""), F.lit(1))
+    """All values of an attribute in tags, in order: in either kind of quotes or bare, the name in any case."""
+    tags = F.regexp_extract_all(html, F.lit(r"<[A-Za-z][^>]*>"), F.lit(0))
+    pattern = rf"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    return F.transform(F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))), _bare)
+
+
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, r"^[\"']|[\"']$", "")
+
+
+def _joined(heads: Column, values: Column, encode):
+    def put(t, i):
+        v = F.get(values, i)
+        quote = F.regexp_extract(v, r"^([\"'])", 1)
+        return F.concat(t, F.when(i < F.size(values), F.concat(F.get(heads, i), quote, encode(_bare(v)), quote)).otherwise(""))
+    return put
+
+
+def rewrite_attributes(html: Column, rules: list[tuple[list[str], list[str]]], encode) -> Column:
+    """html with the values of the rules' attributes (of any of the rule's elements) encoded; quotes and all else as they are."""
+    for elements, names in rules:
+        for name in names:
+            pattern = rf"(?is)(<(?:{'|'.join(elements)})\b[^>]*?\s{name}\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+            heads, values = (F.regexp_extract_all(html, F.lit(pattern), F.lit(k)) for k in (1, 2))
+            html = F.array_join(F.transform(F.split(html, pattern, -1), _joined(heads, values, encode)), "")
+    return html
 
 
 def rewrite_srcset(srcset: Column, encode) -> Column:
@@ -38,16 +62,25 @@ def rename_attribute(html: Column, old: str, new: str) -> Column:
 
 
 def redirect_page(url: Column) -> Column:
-    return F.format_string('<!DOCTYPE html><meta http-equiv="refresh" content="0;url=%s">', url)
+    return F.when(url.isNotNull(), F.format_string('<!DOCTYPE html><meta http-equiv="refresh" content="0;url=%s">', url))
 
 
 def rewrite_manifest(manifest: Column, encode, suffix: str) -> Column:
-    """icons[].src, shortcuts[].url, start_url and scope encoded, suffix after the names, serviceworker gone."""
-    schema = "name string, short_name string, start_url string, scope string, display string, icons array<struct<src:string,sizes:string,type:string>>, shortcuts array<struct<name:string,url:string>>"
-    m = F.from_json(manifest, schema)
-    return F.to_json(
-        F.struct(
-            F.concat(m["name"], F.lit(suffix)).alias("name"), F.concat(m["short_name"], F.lit(suffix)).alias("short_name"), encode(m["start_url"]).alias("start_url"), encode(m["scope"]).alias("scope"), m["display"].alias("display"),
-            F.transform(m["icons"], lambda i: i.withField("src", encode(i["src"]))).alias("icons"), F.transform(m["shortcuts"], lambda s: s.withField("url", encode(s["url"]))).alias("shortcuts"),
-        )
-    )
+    """icons[].src, shortcuts[].url, start_url and scope encoded, suffix after the names, serviceworker gone;
+    all other fields stay. Null for what isn't an object."""
+    record, records = "map<string,variant>", "array<map<string,variant>>"
+    m = F.from_json(manifest, record)
+    def text(v):
+        return F.try_variant_get(v, "$", "string")
+    def put(old, key, value):
+        return F.map_concat(F.map_filter(old, lambda k, _: k != key), F.when(value.isNotNull(), F.map_from_arrays(F.array(F.lit(key)), F.array(value.cast("variant")))).otherwise(F.from_json(F.lit("{}"), record)))
+    def each(key, field):
+        return F.to_variant_object(F.transform(F.try_variant_get(m[key], "$", records), lambda x: put(x, field, encode(text(x[field])))))
+    out = F.map_filter(m, lambda k, _: k != "serviceworker")
+    for key in ("name", "short_name"):
+        out = put(out, key, F.concat(text(m[key]), F.lit(suffix)))
+    for key in ("start_url", "scope"):
+        out = put(out, key, encode(text(m[key])))
+    for key, field in (("icons", "src"), ("shortcuts", "url")):
+        out = put(out, key, each(key, field))
+    return F.to_json(out)

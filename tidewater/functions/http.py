@@ -6,8 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def last_wins(entries: Column) -> Column:
+    """A map of (key, value) structs; of a key that repeats the last counts."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])))
+
+
 def lower_keys(headers: Column) -> Column:
-    return F.transform_keys(headers, lambda k, v: F.lower(k))
+    """Lower-case names; of names that become equal the last counts."""
+    return last_wins(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
+def request_headers(headers: Column, target: Column, page: Column, cookie: Column, agent: Column, mode: Column, dest: Column, page_only_origin: bool = False) -> Column:
+    """Headers of a request to target (a URL) from a page (a URL, or null): Origin, Host and Referer anew, Cookie and
+    user agent where there are any, and the fetch metadata."""
+    def origin(u):
+        return F.regexp_extract(u, r"^([a-z]+://[^/?#]*)", 1)
+    h = F.map_filter(headers, lambda k, v: ~F.lower(k).isin("origin", "host", "referer") & ~((F.lower(k) == "user-agent") & agent.isNotNull()))
+    site = F.when(mode == "navigate", "same-origin").when(page.isNull(), "none").when(origin(page) == origin(target), "same-origin").otherwise("cross-site")
+    referer = F.coalesce(origin(page) if page_only_origin else page, F.concat(origin(target), F.lit("/")) if page_only_origin else target)
+    new = [("Origin", F.coalesce(origin(page), origin(target))), ("Host", F.regexp_extract(target, r"^[a-z]+://([^/?#]*)", 1)), ("Referer", referer), ("Cookie", F.nullif(cookie, F.lit(""))), ("user-agent", agent), ("sec-fetch-dest", F.coalesce(dest, F.lit("empty"))), ("sec-fetch-mode", F.coalesce(mode, F.lit("cors"))), ("sec-fetch-site", site), ("sec-fetch-user", F.lit("?1"))]
+    added = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in new]), lambda e: e["value"].isNotNull())
+    return last_wins(F.concat(F.map_entries(h), added))
+
+
+def response_headers(headers: Column, drop: list[str], encode) -> Column:
+    """Without the names of drop and without cookies to set; the target of a redirect encoded."""
+    kept = F.map_filter(headers, lambda k, v: ~F.lower(k).isin([*drop, "set-cookie"]))
+    return F.transform_values(kept, lambda k, v: F.when(F.lower(k) == "location", encode(v)).otherwise(v))
 
 
 def drop_headers(headers: Column, names: list[str]) -> Column:
@@ -28,17 +53,21 @@ def rewrite_header(headers: Column, name: str, rewrite) -> Column:
 
 def is_token(name: Column) -> Column:
     """Whether all characters may stand in a header's name."""
-    return name.rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+$")
+    return name.rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+\z")
+
+
+#: Statuses without a body: of any response, and the fewer that the second rewriter knows.
+EMPTY, EMPTY_FEW = (101, 204, 205, 304), (204, 304)
 
 
-def has_body(method: Column, status: Column) -> Column:
-    return ~method.isin("GET", "HEAD") & ~status.isin(101, 204, 205, 304)
+def has_body(method: Column, status: Column, empty: tuple[int, ...] = EMPTY) -> Column:
+    return ~method.isin("GET", "HEAD") & ~status.isin(*empty)
 
 
 def chunks(value: Column, size: int = 3072) -> Column:
-    """[(ordinal, part)] of at most size characters; one empty part for an empty value."""
-    last = F.greatest(F.ceil(F.length(value) / F.lit(size)).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("ordinal"), value.substr(i * size + 1, F.lit(size)).alias("part")))
+    """[(ordinal, part)] of at most size characters, by one pass; one empty part for an empty value."""
+    parts = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.transform(F.when(value == "", F.array(F.lit(""))).otherwise(parts), lambda p, i: F.struct(i.alias("ordinal"), p.alias("part")))
 
 
 def rejoin(parts: Column) -> Column:
@@ -74,17 +103,25 @@ def split_set_cookie(header: Column) -> Column:
 
 
 def set_cookie(text: Column) -> Column:
-    """name, value and a map of lower-case attributes (flags: empty)."""
+    """name, value and a map of lower-case attributes (flags: empty; of one that repeats the last counts)."""
     parts = F.transform(F.split(text, ";"), lambda p: F.trim(p))
     first = F.get(parts, 0)
     rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p != "")
-    attributes = F.map_from_entries(F.transform(rest, lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)), F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(""))))
+    attributes = last_wins(F.transform(rest, lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("key"), F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("").alias("value"))))
     return F.struct(F.substring_index(first, "=", 1).alias("name"), F.substring(first, F.instr(first, "=") + 1, F.length(first)).alias("value"), attributes.alias("attributes"))
 
 
-def serialize_cookie(name: Column, value: Column, path: Column, expires: Column, secure: Column) -> Column:
-    """A Set-Cookie header without what is null; null for a name that isn't a token."""
-    return F.when(is_token(name), F.concat_ws("; ", F.concat(name, F.lit("="), value), F.concat(F.lit("Path="), path), F.concat(F.lit("Expires="), expires), F.when(secure, "Secure")))
+def serialize_cookie(name: Column, value: Column, path: Column, expires: Column, secure: Column, domain: Column | None = None, max_age: Column | None = None, http_only: Column | None = None, same_site: Column | None = None) -> Column:
+    """A Set-Cookie header without what is null; null for a name that isn't a token, or a value, path or
+    domain with a character that may not stand in a header, or an unknown SameSite."""
+    none = F.lit(None).cast("string")
+    domain, max_age, same_site, http_only = (none if c is None else c for c in (domain, max_age, same_site, http_only))
+    def fits(c):
+        return F.coalesce(c.rlike(r"^[\t\x20-\x7e\x80-\xff]*\z"), F.lit(True))
+    site = F.lower(same_site)
+    sound = is_token(name) & value.isNotNull() & fits(value) & fits(path) & fits(domain) & F.coalesce(site.isin("strict", "lax", "none"), F.lit(True))
+    parts = [F.concat(name, F.lit("="), value), F.concat(F.lit("Max-Age="), F.floor(max_age.cast("double")).cast("string")), F.concat(F.lit("Domain="), domain), F.concat(F.lit("Path="), path), F.concat(F.lit("Expires="), expires), F.when(http_only.cast("boolean"), "HttpOnly"), F.when(secure, "Secure"), F.concat(F.lit("SameSite="), F.initcap(site))]
+    return F.when(sound, F.concat_ws("; ", *parts))
 
 
 def cookie_header(jar: Column) -> Column:
@@ -110,6 +147,11 @@ def base64_latin1(text: Column) -> Column:
     return F.when(text.rlike("^[\\x00-\\xff]*$"), F.regexp_replace(F.base64(F.encode(text, "ISO-8859-1")), "\\s", ""))
 
 
+def base64_text(b64: Column) -> Column:
+    """The Latin-1 text of a base64; null for what isn't one."""
+    return F.decode(F.try_to_binary(b64, F.lit("base64")), "ISO-8859-1")
+
+
 def base64_lines(b64: Column, width: int = 64) -> Column:
     return F.regexp_replace(b64, "(.{%d})(?=.)" % width, "$1\n")
 

@@ -12,7 +12,7 @@ def host(url: Column) -> Column:
 
 
 def registrable_domain(h: Column) -> Column:
-    """The last two labels of a host; a host without a dot is unchanged."""
+    """The behaviour fixes this rule: the last two labels of a host; a host without a dot is unchanged."""
     return F.regexp_replace(h, r"^(.*\.)?([^.]*\.[^.]*)$", "$2")
 
 
@@ -107,12 +107,46 @@ def resolve(base: Column, ref: Column) -> Column:
     return F.when(full.rlike(r"/\.{1,2}(/|$|[?#])"), clean).otherwise(full)
 
 
-def proxy_encode(url: Column, base: Column, origin: str, prefix: str) -> Column:
-    """A URL as the address behind a prefix: the page part encoded, query and hash after it.
-    Empty, about:, javascript:, data:, blob: and mailto: URLs and those already behind the prefix are unchanged."""
-    full = resolve(base, url)
+def proxy_encode(url: Column, base: Column, origin: str, prefix: str, wrapper: str = "run") -> Column:
+    """A URL as the address behind a prefix: the page part encoded, query and hash after it. By the first rule:
+    empty URLs and chrome-extension: are unchanged, about:blank gets the prefix before it, javascript: has its text put into wrapper(...);
+    what stands before an embedded http(s) URL goes; those already behind the prefix, #, about:, mailto:, blob:, data:
+    are unchanged."""
+    inner = F.coalesce(F.nullif(F.regexp_extract(url, r"^[/A-Za-z0-9\-%]+(https?://.*)", 1), F.lit("")), url)
+    full = resolve(base, inner)
     page, rest = F.regexp_extract(full, r"^([^?#]*)", 1), F.regexp_extract(full, r"^[^?#]*([?#].*)$", 1)
-    return F.when(url.isNull() | (url == "") | url.rlike("^(about|javascript|data|blob|mailto|chrome-extension):") | url.startswith(origin + prefix) | url.startswith(prefix), url).otherwise(F.concat(F.lit(origin + prefix), xor_encode(page), rest))
+    script = F.substring(F.to_json(F.array(F.substring(url, 12, 1 << 30))), 2, 1 << 30)
+    return (
+        F.when(url.isNull() | (url == ""), url).when(url.startswith("about:blank"), F.concat(F.lit(origin + prefix), url)).when(url.startswith("chrome-extension://"), url)
+        .when(url.startswith("javascript:"), F.concat(F.lit(f"javascript:{wrapper}("), F.regexp_replace(script, r"\]$", ")")))
+        .when(inner.startswith(origin + prefix) | inner.startswith(prefix) | inner.rlike("^(#|about:|mailto:|blob:|data:)"), inner)
+        .otherwise(F.concat(F.lit(origin + prefix), xor_encode(page), rest))
+    )
+
+
+def rebase(url: Column, own: str, base: Column, encode) -> Column:
+    """The URL of a request that a page at base made, whose own origin stands for that of base, encoded; what isn't http(s) stays."""
+    path = F.when(url.startswith(own), F.substring(url, len(own) + 1, 1 << 30)).otherwise(url)
+    return F.when(~url.startswith("http"), url).otherwise(encode(resolve(base, path)))
+
+
+def under(url: Column, own: str, prefix: str) -> Column:
+    """Whether the path of a URL of this origin begins with a prefix."""
+    return url.startswith(own) & F.substring(url, len(own) + 1, len(prefix)).eqNullSafe(prefix)
+
+
+def allowed_host(h: Column, hosts: list[str]) -> Column:
+    return ~h.isin(hosts)
+
+
+def transport_route(path: Column, prefix: str) -> Column:
+    """Who answers a request: the transport, or the app."""
+    return F.when(path.startswith(prefix), "transport").otherwise("app")
+
+
+def characters(text: Column) -> Column:
+    """The UTF-16 units of a text, as hexadecimal digits."""
+    return F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
 
 
 def proxy_decode(url: Column, prefix: str) -> Column:

@@ -10,8 +10,8 @@ CUSTOM = "[Custom]"
 
 
 def truthy(flag: Column) -> Column:
-    """A flag that may be a boolean or a text: any text but the empty one and `false`."""
-    return F.coalesce((flag.cast("string") != "") & (flag.cast("string") != "false"), F.lit(False))
+    """A flag that is a text: any but the empty one, also `false`. A boolean has to be cast to "boolean" by the caller, who knows."""
+    return F.coalesce(flag.cast("string") != "", F.lit(False))
 
 
 def with_availability(catalog: DataFrame, partial_hosts: list[str], error_hosts: list[str], partial_say: str, error_say: str) -> DataFrame:
@@ -53,10 +53,29 @@ def menu(links: Column) -> Column:
     return F.array_join(F.transform(links, lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x["name"])), "\n")
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with its rows' numbers from 0 in an order, without bringing all rows to one task: ranges are
+    sorted on their own, and only their counts are summed up. Equal rows of the order are numbered in any order."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = [f"_order{i}" for i in range(len(order))]
+    d = df.select("*", *[c.alias(k) for c, k in zip(order, keys)]).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
+    place = F.monotonically_increasing_id()
+    d = d.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_row": place.bitwiseAND((1 << 33) - 1)})
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return d.join(F.broadcast(before), "_part").withColumn(out, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before", "_n")
+
+
 def ordered(catalog: DataFrame, name: str = "name") -> DataFrame:
-    """With `ordinal` from 0: custom records first, then by name in locale order. For catalogs that fit a task."""
-    first = ~F.col(name).startswith(CUSTOM)
-    return catalog.withColumn("ordinal", F.row_number().over(W.orderBy(first, F.collate(F.col(name), "UNICODE"), name)) - 1)
+    """With `ordinal` from 0: custom records first, then by name in locale order."""
+    out = numbered(catalog, [~F.col(name).startswith(CUSTOM), F.collate(F.col(name), "UNICODE"), F.col(name)], "ordinal")
+    return out.withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+def options(df: DataFrame, label: str = "label", seq: str = "seq") -> DataFrame:
+    """With `ordinal`: by label in locale order, equal ones as they came."""
+    return numbered(df, [F.collate(F.col(label), "UNICODE"), F.col(seq)], "ordinal")
 
 
 def parse_pins(text: Column) -> Column:
@@ -75,7 +94,8 @@ def pinned(catalog: DataFrame, pins: DataFrame) -> DataFrame:
     p = pins.filter("pin <> 0").select(F.col("pin").alias("ordinal")).distinct()
     yes = catalog.join(p, "ordinal", "left_semi").withColumn("is_pinned", F.lit(True))
     no = catalog.join(p, "ordinal", "left_anti").withColumn("is_pinned", F.lit(False))
-    return yes.unionByName(no).withColumn("position", F.row_number().over(W.orderBy(~F.col("is_pinned"), "ordinal")) - 1)
+    out = numbered(yes.unionByName(no), [~F.col("is_pinned"), F.col("ordinal")], "position")
+    return out.withColumn("position", F.col("position").cast("int"))
 
 
 def in_categories(catalog: DataFrame, selected: list[str]) -> DataFrame:
@@ -87,9 +107,36 @@ def name_contains(df: DataFrame, text: str, name: str = "name") -> DataFrame:
     return df.filter(F.lower(name).contains(text.lower()))
 
 
-def custom_records(apps: DataFrame) -> DataFrame:
+def custom_records(apps: DataFrame, image: str = "custom.png") -> DataFrame:
     """From (seq, title, link): records, the newest first; both title and link must be there."""
-    return apps.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != "")).select((-F.col("seq")).alias("order"), F.concat(F.lit(CUSTOM + " "), "title").alias("name"), "link", F.lit("true").alias("custom"))
+    return apps.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != "")).select((-F.col("seq")).alias("order"), F.concat(F.lit(CUSTOM + " "), "title").alias("name"), "link", F.lit(image).alias("image"), F.lit("true").alias("custom"))
+
+
+def with_custom(catalog: DataFrame, custom: DataFrame) -> DataFrame:
+    """Custom records (newest first) before a catalog that has `ordinal`; `order` sorts both."""
+    return custom.unionByName(catalog.withColumn("order", F.col("ordinal").cast("long")), allowMissingColumns=True).withColumn("is_custom", F.col("custom").isNotNull())
+
+
+def append_apps(apps: DataFrame) -> DataFrame:
+    """user, apps after a log of (user, seq, title): each gets the key of its number, so the fold is a map in the order of seq."""
+    listed = apps.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("seq", "title"))).alias("x"))
+    return listed.select("user", F.map_from_entries(F.transform("x", lambda x, i: F.struct(F.concat(F.lit("custom"), (i + 1).cast("string")), x["title"]))).alias("apps"))
+
+
+def image_shown(image: Column) -> Column:
+    return F.coalesce(image != "", F.lit(False))
+
+
+def resolved(custom: Column, preset: Column) -> Column:
+    """A custom value, or the preset where there is none."""
+    return F.coalesce(F.nullif(custom, F.lit("")), preset)
+
+
+def first_match(items: Column, test) -> Column:
+    """The first element that passes, and its index from 0; null and -1 without one."""
+    hits = F.transform(items, lambda x: F.coalesce(test(x), F.lit(False)))
+    at = F.array_position(hits, True).cast("int") - 1
+    return F.struct(F.when(at >= 0, F.get(items, F.greatest(at, F.lit(0)))).alias("item"), at.alias("index"))
 
 
 def next_key(apps: Column) -> Column:
@@ -98,8 +145,11 @@ def next_key(apps: Column) -> Column:
 
 
 def move(items: Column, item: Column, target: Column) -> Column:
-    """item before the target if it stood after it, else after it."""
-    i, j = F.array_position(items, item).cast("int"), F.array_position(items, target).cast("int")
+    """item before the target if it stood after it, else after it; unchanged if either isn't there or is null."""
+    def at(where, x):
+        return F.coalesce(F.array_position(where, x).cast("int"), F.lit(0))
+    i, j = at(items, item), at(items, target)
     rest = F.filter(items, lambda x: x != item)
-    k = F.array_position(rest, target).cast("int")
-    return F.when((i == 0) | (j == 0) | (i == j), items).otherwise(F.array_insert(rest, F.when(i > j, k).otherwise(k + 1), item))
+    before = F.greatest(at(rest, target) - F.when(i > j, 1).otherwise(0), F.lit(0))
+    moved = F.concat(F.slice(rest, 1, before), F.array(item), F.slice(rest, before + 1, F.size(rest)))
+    return F.when((i == 0) | (j == 0) | (i == j), items).otherwise(moved)

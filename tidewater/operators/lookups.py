@@ -41,31 +41,66 @@ def last_write(log: DataFrame) -> DataFrame:
 
 
 def add_absent(store: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new whose key isn't there yet, and the store."""
-    return store.unionByName(new.join(store, "key", "left_anti"))
+    """Rows of new whose key isn't there yet (one a key, the smallest value), and the store."""
+    once = new.groupBy("key").agg(F.min("value").alias("value"))
+    return store.select("key", "value").unionByName(once.join(store, "key", "left_anti"))
+
+
+def put(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The store with the rows (key, value) of new over it."""
+    return new.select("key", "value").unionByName(store.select("key", "value").join(new, "key", "left_anti"))
+
+
+def deleted(store: DataFrame, keys: DataFrame) -> DataFrame:
+    return store.join(keys, "key", "left_anti")
 
 
 def namespaced(prefix: str, origin: Column, key: Column) -> Column:
     return F.concat(F.lit(prefix), origin, F.lit("@"), key)
 
 
+def host_key(prefix: str, host: Column, key: Column) -> Column:
+    return F.concat(F.lit(prefix + "$"), host, F.lit("$"), key)
+
+
 def namespace_keys(store: DataFrame, prefix: str) -> DataFrame:
     """The keys of a namespace without it, with their ordinal in the order of seq."""
-    from pyspark.sql import Window as W
+    from .catalog import numbered
 
     own = store.filter(F.col("key").startswith(prefix))
-    return own.select(F.substring("key", len(prefix) + 1, 1 << 30).alias("key"), (F.row_number().over(W.orderBy("seq")) - 1).alias("nth"))
+    return numbered(own, [F.col("seq"), F.col("key")], "nth").select(F.substring("key", len(prefix) + 1, 1 << 30).alias("key"), "nth")
+
+
+def reversed_table(table: dict[str, str]) -> dict[str, str]:
+    """From stored values back to settings; of values that repeat the first setting counts."""
+    return {v: k for k, v in reversed(table.items())}
 
 
 def best_by_extension(types: DataFrame) -> DataFrame:
-    """extension, type: of a media type's sources the highest ranked counts, later ones before earlier
-    ones, but an application/ type isn't replaced by one of its rank; application/octet-stream always gives way."""
+    """extension, type, charset: types in the order of their ordinal; each replaces the one before it, unless that has a source of a
+    higher rank, or is an application/ type of the same rank. application/octet-stream always gives way.
+    A media type's dictionary has few types an extension, so each is folded in one array."""
     rank = F.when(F.col("source") == "iana", 3).when(F.col("source").isNull(), 2).when(F.col("source") == "apache", 1).otherwise(0)
-    rows = types.select("ordinal", "type", rank.alias("rank"), F.explode("extensions").alias("extension"))
-    generic, application = F.col("type") == "application/octet-stream", F.col("type").startswith("application/")
-    order = F.when(application, -F.col("ordinal")).otherwise(F.col("ordinal"))
-    best = rows.groupBy("extension").agg(F.max(F.struct((~generic).alias("g"), "rank", application.alias("a"), order.alias("o"), "type")).alias("x"))
-    return best.select("extension", F.col("x.type").alias("type"))
+    charset = F.col("charset") if "charset" in types.columns else F.lit(None).cast("string")
+    rows = types.select(F.explode("extensions").alias("extension"), F.struct("ordinal", "type", rank.alias("rank"), charset.alias("charset")).alias("x"))
+    folded = rows.groupBy("extension").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    def step(now, new):
+        stays = (now["type"] != "application/octet-stream") & ((now["rank"] > new["rank"]) | ((now["rank"] == new["rank"]) & now["type"].startswith("application/")))
+        return F.when(stays, now).otherwise(new)
+    best = folded.select("extension", F.aggregate(F.slice("x", 2, F.size("x")), F.get("x", 0), step).alias("x"))
+    return best.select("extension", "x.type", "x.charset")
+
+
+def content_types(paths: DataFrame, types: DataFrame, path: str = "path", overrides: dict[str, str] | None = None) -> DataFrame:
+    """paths with `content_type`: by extension, with a charset (that of the type, or UTF-8 for text); null for an unknown one."""
+    from ..functions.http import extension
+
+    best = best_by_extension(types).select(F.col("extension").alias("_extension"), "type", "charset")
+    charset = F.lower(F.coalesce("charset", F.when(F.col("type").startswith("text/"), "utf-8")))
+    full = F.when(F.col("type").contains("charset") | charset.isNull(), F.col("type")).otherwise(F.concat("type", F.lit("; charset="), charset))
+    out = paths.withColumn("_extension", extension(F.col(path))).join(best, "_extension", "left")
+    own = mapped(F.col("_extension"), overrides) if overrides else F.lit(None).cast("string")
+    return out.withColumn("content_type", F.coalesce(own, full)).drop("_extension", "type", "charset")
 
 
 def with_parent_cookies(cookies: DataFrame, parent: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import http, urls
 
 
 def matched_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,14 +55,24 @@ def ok_only(responses: DataFrame) -> DataFrame:
     return responses.filter((F.col("status") >= 200) & (F.col("status") < 300))
 
 
+def keys_of(store: DataFrame, key: str | None = None) -> DataFrame:
+    return stored_rows(store, key).select("key")
+
+
+def open_store(spark, path: str) -> DataFrame:
+    """The store (key, value) in a folder, made empty where it isn't there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.createDataFrame([], "key string, value string").write.parquet(path)
+    return spark.read.schema("key string, value string").parquet(path)
+
+
 def hooked(df: DataFrame, hooks: list[Callable[[DataFrame], DataFrame | None]], first_only: bool = False) -> DataFrame:
-    """df through hooks in order; one that returns None leaves it as it is. With first_only, the first that returns a DataFrame ends it."""
-    for h in hooks:
+    """df through hooks in order; one that returns None leaves it as it is. With first_only only the first registered one is asked."""
+    for h in hooks[:1] if first_only else hooks:
         out = h(df)
         if out is not None:
             df = out
-            if first_only:
-                break
     return df
 
 
@@ -70,6 +80,7 @@ CODECS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]]
     "none": (lambda c: c, lambda c: c),
     "plain": (urls.uri_encode, urls.uri_decode),
     "xor": (urls.xor_encode, urls.xor_decode),
+    "base64": (http.base64_latin1, http.base64_text),
 }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -117,6 +118,18 @@ def sequence_matches(events: DataFrame, key: str, order: list[str], value: str,
     return whole.select(F.col("_k").alias(key), F.aggregate("x", zero, then)["n"].alias("matches"))
 
 
+def last_n(events: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
+    """key, last: the last n values in order. Ranks come first, so that tasks keep n rows a key and no history is gathered."""
+    rank = F.row_number().over(W.partitionBy(key).orderBy(*[F.col(o).desc() for o in order]))
+    top = events.select(key, *order, F.col(value).alias("_v"), rank.alias("_r")).filter(F.col("_r") <= n)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "_v"))), lambda x: x["_v"]).alias("last"))
+
+
+def buffers(events: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
+    """events with `buffer`: the last n values at each event."""
+    return events.withColumn("buffer", F.collect_list(value).over(W.partitionBy(key).orderBy(*order).rowsBetween(-(n - 1), 0)))
+
+
 def cookie_jar(ops: DataFrame, now: str) -> DataFrame:
     """host, name, value, expires after a log (seq, host, domain, name, value, expires): stored under the
     domain without its dot, or the host; the last write counts; one that had expired by then deletes."""

@@ -172,8 +172,7 @@ def seq_nonoverlap(spark, sf_dir):
     "SELECT user_id, list(event_id ORDER BY ts, event_id)[-5:] AS last_events FROM events GROUP BY user_id"
 )
 def last_n_buffer(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("x"))
-    return e.select("user_id", F.transform(F.slice("x", F.greatest(F.size("x") - 4, F.lit(1)), F.lit(5)), lambda x: x["event_id"]).alias("last_events"))
+    return state.last_n(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_id", 5).withColumnRenamed("last", "last_events")
 
 
 @query("SELECT n_name, (row_number() OVER (ORDER BY n_name) - 1)::INTEGER AS ordinal FROM nation")
@@ -244,3 +243,6 @@ def attribute_rules(spark, sf_dir):
     rows = rules.attribute_rows(table(spark, sf_dir, "pages"), ["a", "img"], ["href", "src"])
     table_of_rules = spark.range(1).select(F.lit("encode").alias("action"), F.explode(F.array(F.struct(F.array(F.lit("a")).alias("e"), F.array(F.lit("href")).alias("a")), F.struct(F.array(F.lit("img")).alias("e"), F.array(F.lit("src")).alias("a")))).alias("r")).select("action", F.col("r.e").alias("elements"), F.col("r.a").alias("attributes"))
     return rules.matched_rules(rows, table_of_rules).groupBy("page_id", "element", "attribute", "action").agg(F.count("*").alias("n"))
+
+
+from . import web  # noqa: E402, F401  registers its queries here
