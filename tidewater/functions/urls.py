@@ -54,6 +54,11 @@ def redirect_target(method: Column, url: Column, form: Column) -> Column:
     return F.struct(status.alias("status"), F.when(status == 301, target).alias("target"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row; a Column used several times is computed, and planned, as often."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
 def strip_last_segment(url: Column) -> Column:
     return F.regexp_replace(url, "/[^/]*$", "")
 
@@ -101,10 +106,12 @@ def resolve(base: Column, ref: Column) -> Column:
         F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), ref)).when(ref.startswith("/"), F.concat(origin, ref))
         .when(ref.startswith("?"), F.concat(origin, path, ref)).when(ref.startswith("#") | (ref == ""), F.concat(F.regexp_replace(base, "#.*$", ""), ref)).otherwise(F.concat(origin, F.regexp_replace(path, "[^/]*$", ""), ref))
     )
-    parts = F.split(F.regexp_extract(full, r"^[a-z]+://[^/?#]*(/[^?#]*)", 1), "/")
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
-    clean = F.concat(F.regexp_extract(full, r"^([a-z]+://[^/?#]*)", 1), F.when(F.array_join(kept, "/").startswith("/") | (F.array_join(kept, "/") == ""), F.array_join(kept, "/")).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"))), F.regexp_extract(full, r"^[a-z]+://[^?#]*([?#].*)$", 1))
-    return F.when(full.rlike(r"/\.{1,2}(/|$|[?#])"), clean).otherwise(full)
+    def collapsed(u):
+        parts = F.split(F.regexp_extract(u, r"^[a-z]+://[^/?#]*(/[^?#]*)", 1), "/")
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+        rooted = let(F.array_join(kept, "/"), lambda p: F.when(p.startswith("/") | (p == ""), p).otherwise(F.concat(F.lit("/"), p)))
+        return F.concat(F.regexp_extract(u, r"^([a-z]+://[^/?#]*)", 1), rooted, F.regexp_extract(u, r"^[a-z]+://[^?#]*([?#].*)$", 1))
+    return let(full, lambda u: F.when(u.rlike(r"/\.{1,2}(/|$|[?#])"), collapsed(u)).otherwise(u))
 
 
 def proxy_encode(url: Column, base: Column, origin: str, prefix: str, wrapper: str = "run") -> Column:
@@ -112,16 +119,20 @@ def proxy_encode(url: Column, base: Column, origin: str, prefix: str, wrapper: s
     empty URLs and chrome-extension: are unchanged, about:blank gets the prefix before it, javascript: has its text put into wrapper(...);
     what stands before an embedded http(s) URL goes; those already behind the prefix, #, about:, mailto:, blob:, data:
     are unchanged."""
-    inner = F.coalesce(F.nullif(F.regexp_extract(url, r"^[/A-Za-z0-9\-%]+(https?://.*)", 1), F.lit("")), url)
-    full = resolve(base, inner)
-    page, rest = F.regexp_extract(full, r"^([^?#]*)", 1), F.regexp_extract(full, r"^[^?#]*([?#].*)$", 1)
-    script = F.substring(F.to_json(F.array(F.substring(url, 12, 1 << 30))), 2, 1 << 30)
-    return (
-        F.when(url.isNull() | (url == ""), url).when(url.startswith("about:blank"), F.concat(F.lit(origin + prefix), url)).when(url.startswith("chrome-extension://"), url)
-        .when(url.startswith("javascript:"), F.concat(F.lit(f"javascript:{wrapper}("), F.regexp_replace(script, r"\]$", ")")))
-        .when(inner.startswith(origin + prefix) | inner.startswith(prefix) | inner.rlike("^(#|about:|mailto:|blob:|data:)"), inner)
-        .otherwise(F.concat(F.lit(origin + prefix), xor_encode(page), rest))
-    )
+    def page_and_rest(u):
+        page, rest = F.regexp_extract(u, r"^([^?#]*)", 1), F.regexp_extract(u, r"^[^?#]*([?#].*)$", 1)
+        return F.concat(F.lit(origin + prefix), xor_encode(page), rest)
+    def address(inner):
+        there = inner.startswith(origin + prefix) | inner.startswith(prefix) | inner.rlike("^(#|about:|mailto:|blob:|data:)")
+        return F.when(there, inner).otherwise(let(resolve(base, inner), page_and_rest))
+    def ladder(u):
+        script = F.substring(F.to_json(F.array(F.substring(u, 12, 1 << 30))), 2, 1 << 30)
+        return (
+            F.when(u.isNull() | (u == ""), u).when(u.startswith("about:blank"), F.concat(F.lit(origin + prefix), u)).when(u.startswith("chrome-extension://"), u)
+            .when(u.startswith("javascript:"), F.concat(F.lit(f"javascript:{wrapper}("), F.regexp_replace(script, r"\]$", ")")))
+            .otherwise(let(F.coalesce(F.nullif(F.regexp_extract(u, r"^[/A-Za-z0-9\-%]+(https?://.*)", 1), F.lit("")), u), address))
+        )
+    return let(url, ladder)
 
 
 def rebase(url: Column, own: str, base: Column, encode) -> Column:
@@ -150,7 +161,8 @@ def characters(text: Column) -> Column:
 
 
 def proxy_decode(url: Column, prefix: str) -> Column:
+    def decoded(tail):
+        page, rest = F.regexp_extract(tail, r"^([^?#]*)", 1), F.regexp_extract(tail, r"^[^?#]*([?#].*)$", 1)
+        return F.concat(let(uri_decode(page), xor_units), rest)
     at = F.instr(url, prefix)
-    tail = F.substring(url, at + len(prefix), F.length(url))
-    page, rest = F.regexp_extract(tail, r"^([^?#]*)", 1), F.regexp_extract(tail, r"^[^?#]*([?#].*)$", 1)
-    return F.when(at == 0, url).otherwise(F.concat(xor_units(uri_decode(page)), rest))
+    return F.when(at == 0, url).otherwise(let(F.substring(url, at + len(prefix), F.length(url)), decoded))
