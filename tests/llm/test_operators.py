@@ -339,6 +339,13 @@ def test_pii_formats(spark):
     assert e.lower() == f.lower() == g and f.isupper() and e[0].isupper() and e[5].isupper() and e[1].islower()
 
 
+def test_pii_cards():
+    """Only numbers that pass the Luhn check are card numbers."""
+    found = lambda t: [(k, v) for _, _, k, v in op6_pii_surrogates.mentions(t)]
+    assert found("4111 1111 1111 1111, 4111111111111111, 378282246310005") == [("card", "4111111111111111")] * 2 + [("card", "378282246310005")]
+    assert found("id 4111111111111112, 4111-1111-1111-1112, 378282246310006, 41111111111111111") == []
+
+
 def test_pii_on_a_table(spark, docs):
     """No entity of the corpus stays, surrogates are distinct and never real, mentions agree, and the rest of each text is as it was."""
     simple = re.compile(r"[\w.+-]+@[\w.-]+\.\w+|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\b4\d{15}\b")

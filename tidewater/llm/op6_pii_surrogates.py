@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
-Detected are e-mail addresses, IPv4 addresses, phone numbers, card numbers, national
-numbers (3-2-4 digits), IBANs, secrets after a word like `token =`, and names of people: after
+Detected are e-mail addresses, IPv4 addresses, phone numbers, card numbers (15 or 16 digits
+that pass the Luhn check; others are ids of some kind and stay), national numbers (3-2-4 digits), IBANs, secrets after a word like `token =`, and names of people: after
 a title, a common first name or a phrase that names someone, before a verb of speech, or by
 family name and title in Chinese, Japanese and Korean. A name that a text gives so is also
 found wherever the text has it again with a capital letter. An entity is a type and a canonical value (lower
@@ -174,7 +174,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((a, b, "iban", raw.replace(" ", "")))
             elif kind == "phone":
                 found.append((a, b, "phone", e164(raw)))
-            else:
+            elif kind != "card" or luhn(re.sub(r"\D", "", raw)) == 0:
                 found.append((a, b, kind, re.sub(r"\D", "", raw)))
     if telling(text):
         if names := people(text):
@@ -252,8 +252,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = b"") -> str:
         return code + "".join(str(1 + s.below(9) if i == 0 and c != "0" else s.below(10)) for i, c in enumerate(rest))
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1] + late)
-        check = (10 - luhn(body + "0")) % 10
-        return body + str(check if luhn(value) == 0 else (check + 1 + s.below(9)) % 10)
+        return body + str((10 - luhn(body + "0")) % 10)
     if kind == "national":
         return "".join(str(s.below(10)) for _ in value + late)
     if kind == "iban":
