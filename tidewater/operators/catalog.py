@@ -54,17 +54,24 @@ def menu(links: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """df with its rows' numbers from 0 in an order, without bringing all rows to one task: ranges are
-    sorted on their own, and only their counts are summed up. Equal rows of the order are numbered in any order."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = [f"_order{i}" for i in range(len(order))]
-    d = df.select("*", *[c.alias(k) for c, k in zip(order, keys)]).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
-    place = F.monotonically_increasing_id()
-    d = d.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_row": place.bitwiseAND((1 << 33) - 1)})
+    """df with its rows' numbers from 0 in an order, without bringing all rows to one task: rows are numbered within
+    ranges of the order, and only the ranges' counts are summed up. Equal rows of the order are numbered in any order.
+    df is read several times, so bounds of ranges must not depend on the reading, as those of repartitionByRange do
+    (its sample differs from plan to plan): they are taken from the rows whose order has the smallest hashes, which
+    skews ranges, not numbers, where few values make up most rows."""
+    n, each = 2 * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), 16
+    key = F.struct(*[c.alias(f"_order{i}") for i, c in enumerate(order)])
+    sample = df.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(each * n)
+    bounds = sample.agg(F.sort_array(F.collect_list("_key")).alias("_keys")).select(F.filter("_keys", lambda _, i: i % each == each - 1).alias("_bounds"))
+    d = df.withColumn("_key", key).crossJoin(F.broadcast(bounds)).withColumn("_part", F.lit(0))
+    for i in reversed(range(n.bit_length())):  # binary search of the number of bounds up to a row
+        further = F.get("_bounds", F.col("_part") + ((1 << i) - 1)) <= F.col("_key")
+        d = d.withColumn("_part", F.when(further, F.col("_part") + (1 << i)).otherwise(F.col("_part")))
+    d = d.drop("_key", "_bounds")
     sizes = d.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return d.join(F.broadcast(before), "_part").withColumn(out, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before", "_n")
+    d = d.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
+    return d.join(F.broadcast(before), "_part").withColumn(out, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
 
 
 def ordered(catalog: DataFrame, name: str = "name") -> DataFrame:
