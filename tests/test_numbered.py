@@ -33,3 +33,7 @@ def test_numbers_are_gapless_and_in_order(spark):
     assert order == sorted(order)
     assert catalog.numbered(d.filter("id < 0"), [F.col("x")], "nth").collect() == []
     assert sorted(r.nth for r in catalog.numbered(d.withColumn("x", F.lit(1)), [F.col("x")], "nth").select("nth").collect()) == list(range(20_000))
+
+
+def test_storage_namespaces(spark):
+    assert equal_to_sql(spark, "storage_namespaces")
