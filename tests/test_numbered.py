@@ -37,3 +37,7 @@ def test_numbers_are_gapless_and_in_order(spark):
 
 def test_storage_namespaces(spark):
     assert equal_to_sql(spark, "storage_namespaces")
+
+
+def test_option_order(spark):
+    assert equal_to_sql(spark, "option_order")
