@@ -41,3 +41,16 @@ def test_storage_namespaces(spark):
 
 def test_option_order(spark):
     assert equal_to_sql(spark, "option_order")
+
+
+def test_option_order_of_odd_labels(spark, tmp_path, monkeypatch):
+    """No labels, and such as locales order in another way than the SQL's bytes."""
+    label = "CASE c_custkey % 13 WHEN 0 THEN NULL WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN '' WHEN 3 THEN 'Ärger' WHEN 4 THEN 'zebra' WHEN 5 THEN 'a-b' WHEN 6 THEN 'e' || chr(769) WHEN 7 THEN 'é' WHEN 8 THEN '😀' WHEN 9 THEN chr(65533) ELSE c_mktsegment END"
+    duckdb.sql(f"copy (select * replace ({label} as c_mktsegment, nullif(c_custkey, 28) as c_custkey) from read_parquet('{DATA}/customer.parquet')) to '{tmp_path}/customer.parquet' (format parquet)")
+    monkeypatch.setitem(globals(), "DATA", str(tmp_path))
+    assert equal_to_sql(spark, "option_order")
+
+
+def test_options_in_locale_order(spark):
+    d = spark.createDataFrame([(0, "b"), (1, None), (2, "B"), (3, "a-b"), (4, "Ä"), (None, "b"), (5, "b"), (6, "")], "seq long, label string")
+    assert [r.seq for r in catalog.options(d).orderBy("ordinal").collect()] == [6, 4, 3, 0, 5, None, 2, 1]

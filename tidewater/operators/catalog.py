@@ -80,9 +80,9 @@ def ordered(catalog: DataFrame, name: str = "name") -> DataFrame:
     return out.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
-def options(df: DataFrame, label: str = "label", seq: str = "seq") -> DataFrame:
-    """With `ordinal`: by label in locale order, equal ones as they came."""
-    return numbered(df, [F.collate(F.col(label), "UNICODE"), F.col(seq)], "ordinal")
+def options(df: DataFrame, label: str = "label", seq: str = "seq", collation: str = "UNICODE") -> DataFrame:
+    """With `ordinal`: by label in locale order, or that of another collation, equal ones as they came; those without a label, or a seq, last."""
+    return numbered(df, [F.col(label).isNull(), F.collate(F.col(label), collation), F.col(seq).isNull(), F.col(seq)], "ordinal")
 
 
 def parse_pins(text: Column) -> Column:
