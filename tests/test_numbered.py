@@ -54,3 +54,12 @@ def test_option_order_of_odd_labels(spark, tmp_path, monkeypatch):
 def test_options_in_locale_order(spark):
     d = spark.createDataFrame([(0, "b"), (1, None), (2, "B"), (3, "a-b"), (4, "Ä"), (None, "b"), (5, "b"), (6, "")], "seq long, label string")
     assert [r.seq for r in catalog.options(d).orderBy("ordinal").collect()] == [6, 4, 3, 0, 5, None, 2, 1]
+
+
+def test_storage_namespaces_of_odd_events(spark, tmp_path, monkeypatch):
+    """No ids, negative ones and ids of several events."""
+    key = "CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 97 = 0 THEN -event_id WHEN event_id % 89 = 0 THEN 7 ELSE event_id END"
+    user = "CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN -user_id WHEN event_id % 89 = 0 THEN 3 ELSE user_id END"
+    duckdb.sql(f"copy (select * replace ({key} as event_id, {user} as user_id) from read_parquet('{DATA}/events.parquet')) to '{tmp_path}/events.parquet' (format parquet)")
+    monkeypatch.setitem(globals(), "DATA", str(tmp_path))
+    assert equal_to_sql(spark, "storage_namespaces")
